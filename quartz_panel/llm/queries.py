@@ -34,9 +34,76 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_
     )
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_dedup
+
+    return exact_dedup(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_rules
+
+    q = "quality."
+    return quality_rules(_documents(spark, sf_dir)).select(
+        "doc_id", q + "n_words", q + "word_chars", q + "n_symbols", q + "n_dup_lines", q + "n_repeat_words", q + "base_failed", q + "kept", q + "n_removed_lines", q + "n_removed_words"
+    )
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 
 
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6_SQL = f"""
+WITH t AS (SELECT doc_id, {_ASCII_LOWER} AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
+FROM t
+"""
+
+OP7_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, ('0x' || substr(sha256(coalesce(text, '')), 1, 15))::BIGINT AS digest,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+lines AS (
+  SELECT doc_id, digest, host, pos, line,
+         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
+  FROM (SELECT doc_id, digest, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t)),
+over_limit AS (SELECT host, norm, min(digest) AS first FROM lines GROUP BY host, norm HAVING count(DISTINCT digest) > 100),
+removed AS (
+  SELECT doc_id, digest, count(*) AS n_lines, sum(n) AS n_words
+  FROM (SELECT DISTINCT l.doc_id, l.digest, l.pos, len(regexp_extract_all(l.line, '[^\x20\x09-\x0D]+')) AS n
+        FROM lines l JOIN over_limit o ON l.host = o.host AND l.norm = o.norm
+        WHERE l.digest <> o.first AND regexp_matches(l.line, '[^\x20\x09-\x0D]'))
+  GROUP BY doc_id, digest),
+dup_lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+grams AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM t)),
+covered AS (
+  SELECT doc_id, sum(least(3, coalesce(i - before, 3))) AS n_repeat_words
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before
+        FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1)
+  GROUP BY doc_id),
+s AS (
+  SELECT t.doc_id, len(t.w)::BIGINT AS n_words, length(array_to_string(t.w, ''))::BIGINT AS word_chars,
+         (length(t.text) - length(translate(t.text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(d.n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(c.n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(r.n_lines, 0)::BIGINT AS n_removed_lines, coalesce(r.n_words, 0)::BIGINT AS n_removed_words
+  FROM t LEFT JOIN dup_lines d USING (doc_id) LEFT JOIN covered c USING (doc_id) LEFT JOIN removed r ON r.doc_id = t.doc_id AND r.digest = t.digest)
+SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_removed_words) >= 30 * n_words) AS kept
+FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL}
