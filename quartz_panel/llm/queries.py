@@ -55,6 +55,31 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    base, found = F.col("base"), F.col("matches")
+    joined = lambda x: F.array_join(F.sort_array(F.array_distinct(x)), ",")
+    return license_scan(_documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(base["first_word"]).alias("first_word"),
+        F.array_max(base["first_word"]).alias("last_word"),
+        joined(base["label"]).alias("base_labels"),
+        joined(F.concat(base["label"], found["label"])).alias("labels"),
+        F.when(F.size(found) > 0, 1.0).when(F.size(base) > 0, 0.5).otherwise(0.0).alias("score"),
+    )
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify, train
+
+    docs = _documents(spark, sf_dir)
+    model = train(docs.filter(~held_out(F.col("doc_id"))))
+    return identify(docs, model, spans=False).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 
