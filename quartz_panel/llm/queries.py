@@ -80,6 +80,12 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, spans=False).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_jaccard_join
+
+    return ngram_jaccard_join(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 
