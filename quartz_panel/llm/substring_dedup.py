@@ -134,7 +134,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_arrays([pa.array(signed(one.spans(at, at + window, 5))), pa.array(signed(two.spans(at, at + window, 6))), ids, pa.array(at - base)], names=["h1", "h2", "doc_id", "first"])
 
 
-def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], window: int, as_is: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ranges = batch.column(2)
         for lo, hi, data, offsets in text_chunks(batch):
@@ -151,14 +151,17 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
                 a, b = first[i - lo], first[i - lo + 1]
                 gone = covered([(r["first"], r["last"]) for r in ranges[i].as_py() or ()], window, int(b - a), same[a:b])
                 n.append(int(b - a)), removed.append(int(gone.sum()))
-                keep = np.flatnonzero(~gone) + a
-                texts.append(b" ".join([raw[x:y] for x, y in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)]))
+                if as_is and not removed[-1]:
+                    texts.append(raw[offsets[i - lo] : offsets[i - lo + 1]])
+                else:
+                    keep = np.flatnonzero(~gone) + a
+                    texts.append(b" ".join([raw[x:y] for x, y in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)]))
                 edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
                 spans.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(edge[::2], edge[1::2], strict=True)])
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(texts, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_words", "n_removed", "removed", "kept_text"],
+                [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(texts, pa.binary()).cast(pa.string()), batch.column(3).slice(lo, hi - lo)],
+                names=["doc_id", "n_words", "n_removed", "removed", "kept_text", "carried"],
             )
 
 
@@ -167,18 +170,21 @@ def removed_windows(docs: DataFrame, window: int = 20, rounds: int = 6, most_bro
     return repeated_windows(docs, lambda b: _anchors(b, window, rounds), lambda b: _windows(b, window), True, most_broadcast_bytes)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 6, most_broadcast_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, n_words, n_removed, removed (ranges of words), kept_text (kept words joined by a space).
+def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 6, most_broadcast_bytes: int = 8 << 20, as_is: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, removed (ranges of words), kept_text (kept words joined by a space),
+    carried (a struct of the other columns of ``docs``).
 
     A word goes if a window of ``window`` consecutive words of its document covers it whose words also
-    start earlier: in a smaller doc_id, or in the same document.  Windows are judged on the input.  A
-    null or empty text has no words and an empty kept_text.  Rows that repeat a doc_id get equal
-    results, as one document; a row with a null doc_id is only compared with itself word by word
-    (its runs of one word go).  An empty table gives an empty result; other columns are ignored.
+    start earlier: in a smaller doc_id, or in the same document.  Windows are judged on the input.  With
+    ``as_is`` a text that loses nothing is kept with its own white space.  A null or empty text has no
+    words and an empty kept_text.  Rows that repeat a doc_id get equal results, as one document; a row
+    with a null doc_id is only compared with itself word by word (its runs of one word go).  An empty
+    table gives an empty result.
     """
     ranges = removed_windows(docs, window, rounds, most_broadcast_bytes)
-    return (
-        docs.select("doc_id", "text")
-        .join(ranges, "doc_id", "left")
-        .mapInArrow(lambda b: _kept(b, window), f"doc_id long, n_words long, n_removed long, {RANGES.replace('ranges', 'removed')}, kept_text string")
+    others = F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))
+    rows = docs.select("doc_id", "text", others.alias("carried")).join(ranges, "doc_id", "left").select("doc_id", "text", "ranges", "carried")
+    schema = f"doc_id long, n_words long, n_removed long, {RANGES.replace('ranges', 'removed')}, kept_text string, carried {rows.schema['carried'].dataType.simpleString()}"
+    return rows.mapInArrow(lambda b: _kept(b, window, as_is), schema).withColumn("carried", F.col("carried").dropFields("__none")) if len(docs.columns) > 2 else rows.mapInArrow(
+        lambda b: _kept(b, window, as_is), schema
     )
