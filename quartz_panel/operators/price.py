@@ -142,7 +142,7 @@ def market_horizon_returns(market: DataFrame, grid: DataFrame) -> DataFrame:
     idx = market.withColumn("idx", F.row_number().over(w) - 1).withColumn("before", F.sum("mkt").over(w) - F.col("mkt"))
     ends = idx.select(F.col("idx").alias("end_idx"), F.col("before").alias("upto")).unionByName(idx.agg((F.max("idx") + 1).alias("end_idx"), F.sum("mkt").alias("upto")))
     first = grid.join(idx, idx.trade_date >= grid.date).groupBy("date").agg(F.min(F.struct("idx", "before")).alias("f")).select("date", "f.*")
-    hs = hs.select("*", F.explode(F.create_map(*(x for k, n in HORIZONS.items() for x in (F.lit(k), F.lit(n))))).alias("horizon", "n"))
+    hs = first.select("*", F.explode(F.create_map(*(x for k, n in HORIZONS.items() for x in (F.lit(k), F.lit(n))))).alias("horizon", "n"))
     return hs.join(F.broadcast(ends), F.col("idx") + F.col("n") == F.col("end_idx")).select("date", "horizon", (F.col("upto") - F.col("before")).alias("market_r"))
 
 
