@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("factor_queries",)
+MODULES = ("factor_queries", "evaluation_queries")
 
 
 def _load():

@@ -427,7 +427,7 @@ def _(spark, d):
 
 @query(
     "x10_target_quantile",
-    oracle("""SELECT p.date, p.ticker_id, CASE WHEN mask_3M AND q.n >= 5 THEN greatest(len(list_filter(e, x -> x < r_3M)) - 1, 0)::INT END AS y_quantile FROM panel p LEFT JOIN (
+    oracle("""SELECT p.date, p.ticker_id, CASE WHEN mask_3M AND q.n >= 5 THEN greatest(len(list_filter(e, lambda x: x < r_3M)) - 1, 0)::INT END AS y_quantile FROM panel p LEFT JOIN (
   SELECT date, count(*) AS n, list_distinct(quantile_cont(r_3M, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS e FROM panel WHERE mask_3M GROUP BY date) q ON p.date = q.date"""),
 )
 def _(spark, d):
