@@ -82,9 +82,10 @@ def _line_key(host: Column, line: Column) -> Column:
     return F.xxhash64(F.coalesce(host, F.lit("")), normalised_line(line))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", limit: int = 100, least_left_percent: int = 30, most_broadcast_bytes: int = 8 << 20) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", limit: int = 100, least_left_percent: int = 30, most_broadcast_bytes: int = 8 << 20, with_text: bool = True) -> DataFrame:
     """The columns of ``docs``, and in a struct ``quality``: n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, n_removed_lines, n_removed_words, base_failed, kept, clean_text.
+    n_repeat_words, n_removed_lines, n_removed_words, base_failed, kept, clean_text.  Without
+    ``with_text`` only doc_id and no clean_text, so that no text is shuffled.
 
     clean_text is the text without its boilerplate lines (null where the text is null).  A null or
     empty text has no words and fails the base rules (fewer than 50 words).  Lines without a word are
@@ -101,16 +102,16 @@ def quality_rules(docs: DataFrame, host: str = "source", limit: int = 100, least
         .select("doc_id", "digest", "pos", "n")
         .distinct()
         .groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-        .agg(F.sum("n").alias("__words"), F.collect_list("pos").alias("__pos"))
+        .agg(F.sum("n").alias("__words"), F.count("*").alias("__lines"), *([F.collect_list("pos").alias("__pos")] if with_text else []))
     )
-    removed = broadcast_if_below(written(removed, "lines-removed"), 400, most_broadcast_bytes)
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    removed = broadcast_if_below(written(removed, "lines-removed"), 400 if with_text else 64, most_broadcast_bytes)
+    own = [F.col(f"`{c}`") for c in docs.columns] if with_text else [F.col("doc_id")]
     t = docs.select(*own, text.alias("__text"))
     t = t.select(*own, "__text", words_of(F.col("__text")).alias("__w"), F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__l"))
     t = with_repeat_words(t, "__w", "__repeat")
     t = t.select(
         *own,
-        "__text",
+        *(["__text"] if with_text else []),
         content_digest(F.col("__text")).alias("__d"),
         F.size("__w").cast("long").alias("__n"),
         F.length(F.array_join("__w", "")).cast("long").alias("__chars"),
@@ -121,21 +122,21 @@ def quality_rules(docs: DataFrame, host: str = "source", limit: int = 100, least
     t = t.join(removed, t["doc_id"].eqNullSafe(removed["__id"]) & (t["__d"] == removed["__digest"]), "left")
     gone = F.coalesce("__words", F.lit(0)).cast("long")
     failed = (F.col("__n") < 50) | (100 * F.col("__repeat") > 50 * F.col("__n"))
-    line_list = F.split("__text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(line_list) - 1), F.col("__pos"))
-    clean = F.when(F.col("__pos").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.sort_array(left), lambda i: F.get(line_list, i)), "\n"))
-    return t.select(
-        *own,
-        F.struct(
-            F.col("__n").alias("n_words"),
-            F.col("__chars").alias("word_chars"),
-            F.col("__symbols").alias("n_symbols"),
-            F.col("__dup").alias("n_dup_lines"),
-            F.col("__repeat").alias("n_repeat_words"),
-            F.coalesce(F.size("__pos"), F.lit(0)).cast("long").alias("n_removed_lines"),
-            gone.alias("n_removed_words"),
-            failed.alias("base_failed"),
-            (~failed & (100 * (F.col("__n") - gone) >= least_left_percent * F.col("__n"))).alias("kept"),
-            clean.alias("clean_text"),
-        ).alias("quality"),
-    )
+    stats = [
+        F.col("__n").alias("n_words"),
+        F.col("__chars").alias("word_chars"),
+        F.col("__symbols").alias("n_symbols"),
+        F.col("__dup").alias("n_dup_lines"),
+        F.col("__repeat").alias("n_repeat_words"),
+        F.coalesce("__lines", F.lit(0)).cast("long").alias("n_removed_lines"),
+        gone.alias("n_removed_words"),
+        failed.alias("base_failed"),
+        # always true; it keeps later filters from being moved below, where all counts would be written out again
+        (~failed & (100 * (F.col("__n") - gone) >= least_left_percent * F.col("__n")) & (F.monotonically_increasing_id() >= 0)).alias("kept"),
+    ]
+    if not with_text:
+        return t.select(*own, F.struct(*stats).alias("quality"))
+    t = t.withColumn("__split", F.when(F.col("__pos").isNotNull(), F.split("__text", "\n", -1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), F.col("__pos"))
+    clean = F.when(F.col("__pos").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.sort_array(left), lambda i: F.get(F.col("__split"), i)), "\n"))
+    return t.select(*own, F.struct(*stats, clean.alias("clean_text")).alias("quality"))

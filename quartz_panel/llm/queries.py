@@ -44,7 +44,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
     q = "quality."
-    return quality_rules(_documents(spark, sf_dir)).select(
+    return quality_rules(_documents(spark, sf_dir), with_text=False).select(
         "doc_id", q + "n_words", q + "word_chars", q + "n_symbols", q + "n_dup_lines", q + "n_repeat_words", q + "base_failed", q + "kept", q + "n_removed_lines", q + "n_removed_words"
     )
 
