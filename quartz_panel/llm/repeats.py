@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .store import broadcast_if_below, written
 
-ANCHOR_SCHEMA = "key long, content long, doc_id long, first long, last long"
+#: place: first window << SPAN_BITS | windows after it; one number, as these rows are the bulk of what is shuffled
+SPAN_BITS = 20
+ANCHOR_SCHEMA = "key long, content long, doc_id long, place long"
 WINDOW_SCHEMA = "h1 long, h2 long, doc_id long, first long"
 RANGES = "ranges array<struct<first:long,last:long>>"
 RANGE_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -66,24 +68,28 @@ def repeated_windows(docs: DataFrame, anchors: Callable, windows: Callable, keep
     (smaller doc_id, or the same and an earlier start).  Rows that repeat a doc_id count once."""
     texts = docs.filter("doc_id is not null").select("doc_id", "text")
     alike, key = Window.partitionBy("key", "content"), Window.partitionBy("key")
-    place = F.struct("doc_id", "first")
+    here = F.struct("doc_id", "place")
     rows = texts.mapInArrow(anchors, ANCHOR_SCHEMA)
-    rows = rows.withColumn("lo", F.min(place).over(alike)).withColumn("hi", F.max(place).over(alike))
+    rows = rows.withColumn("lo", F.min(here).over(alike)).withColumn("hi", F.max(here).over(alike))
     rows = rows.withColumn("mixed", F.min("content").over(key) != F.max("content").over(key))
-    again, opening = F.col("lo") != F.col("hi"), F.col("lo") == place
-    rows = rows.select("doc_id", "first", "last", (~opening if keep_first else again).alias("sure"), (opening & F.col("mixed")).alias("open"))
-    rows = written(rows.filter("sure or open"), "repeats")
+    again, opening = F.col("lo") != F.col("hi"), F.col("lo") == here
+    first = F.shiftright("place", SPAN_BITS)
+    last = first + F.col("place").bitwiseAND(F.lit((1 << SPAN_BITS) - 1))
+    rows = rows.select("doc_id", "place", (~opening if keep_first else again).alias("sure"), (opening & F.col("mixed")).alias("open"))
+    rows = written(rows.filter("sure or open").select("doc_id", first.alias("first"), last.alias("last"), "sure", "open"), "repeats")
     todo = by_document(rows.filter("open"), "open", most_broadcast_bytes)
-    single = texts.join(todo, "doc_id").mapInArrow(windows, WINDOW_SCHEMA)
+    ids = broadcast_if_below(todo.select("doc_id"), 16, most_broadcast_bytes)
+    single = texts.join(ids, "doc_id", "left_semi").join(todo, "doc_id").mapInArrow(windows, WINDOW_SCHEMA)
+    here = F.struct("doc_id", "first")
     equal = Window.partitionBy("h1", "h2")
-    single = single.withColumn("lo", F.min(place).over(equal)).withColumn("hi", F.max(place).over(equal))
-    found = single.filter(place != F.col("lo") if keep_first else again).select("doc_id", "first", F.col("first").alias("last"))
+    single = single.withColumn("lo", F.min(here).over(equal)).withColumn("hi", F.max(here).over(equal))
+    found = single.filter(here != F.col("lo") if keep_first else again).select("doc_id", "first", F.col("first").alias("last"))
     return by_document(rows.filter("sure").select("doc_id", "first", "last").union(found), "repeated", most_broadcast_bytes)
 
 
 def rows_of(batch: pa.RecordBatch, row: np.ndarray, key, content, first, last) -> pa.RecordBatch:
     ids = batch.column(0).take(pa.array(row))
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), ids, pa.array(first), pa.array(last)], names=["key", "content", "doc_id", "first", "last"])
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), ids, pa.array(first << SPAN_BITS | last - first)], names=["key", "content", "doc_id", "place"])
 
 
 def covered(ranges, window: int, size: int, also: np.ndarray | None = None) -> np.ndarray:

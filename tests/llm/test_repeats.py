@@ -84,7 +84,7 @@ def test_long_texts_in_pieces(monkeypatch):
     rng = random.Random(8)
     text = " ".join(rng.choice(["a", "b", "c", "d"]) for _ in range(900))
     batch = pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([text])], names=["doc_id", "text"])
-    windows = lambda rows: sorted(w for b in rows for r in b.to_pylist() for w in range(r["first"], r["last"] + 1))
+    windows = lambda rows: sorted(w for b in rows for r in b.to_pylist() for w in range(r["place"] >> 20, (r["place"] >> 20) + r["place"] % (1 << 20) + 1))
     assert windows(R._anchors([batch], 20, 6, most=100)) == windows(R._anchors([batch], 20, 6)) == list(range(881))
     monkeypatch.setattr(S, "MOST", 300)
     assert windows(S._anchors([batch], 200, 50)) == list(range(len(text) - 199))
