@@ -44,13 +44,23 @@ def seasonal(d) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(v)`` with ``value`` computed once: inside a lambda a plain expression is computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def zscore_array(a) -> Column:
     """(x - mean) / population deviation of an array; zeros where the deviation is below 1e-9."""
-    a = col(a)
-    n = F.size(a)
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    dev = F.sqrt(F.aggregate(F.transform(a, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x) / n)
-    return F.transform(a, lambda x: F.when(dev < 1e-9, 0.0).otherwise((x - mean) / dev))
+
+    def centred(a):
+        mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+        return _bound(mean, lambda m: F.transform(a, lambda x: x - m))
+
+    def scaled(c):
+        dev = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x) / F.size(c))
+        return _bound(dev, lambda v: F.transform(c, lambda x: F.when(v < 1e-9, 0.0).otherwise(x / v)))
+
+    return _bound(col(a), lambda v: _bound(centred(v), scaled))
 
 
 def safe_corr(x, y) -> Column:

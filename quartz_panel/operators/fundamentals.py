@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from quartz_panel.functions.scalar import safe_ratio
 
 from .asof import asof_join, lagged_asof
-from .price import W
+from .price import by_ticker
 
-FILED = Window.partitionBy("ticker_id").orderBy("filed_at", "accession_number")
+def by_filing():
+    return Window.partitionBy("ticker_id").orderBy("filed_at", "accession_number")
 
 
 def revenue_growth(filings: DataFrame, point_in_time: bool = False) -> DataFrame:
@@ -35,7 +36,7 @@ def ttm(filings: DataFrame, metrics: tuple[str, ...] = ("revenue", "net_income",
     """Adds ttm_{metric}: four latest distinct quarters within 380 days, a 10-K's own year, else the latest year within 380 days, else 0.
 
     Quarters are taken in the order filed; of a period filed twice the latest filing counts."""
-    run = FILED.rowsBetween(Window.unboundedPreceding, 0)
+    run = by_filing().rowsBetween(Window.unboundedPreceding, 0)
     item = F.struct("period_end", *metrics)
     quarters = F.collect_list(F.when(F.col("filing_type") == "10-Q", item)).over(run)
     years = F.collect_list(F.when(F.col("filing_type") == "10-K", item)).over(run)
@@ -53,7 +54,7 @@ def ttm(filings: DataFrame, metrics: tuple[str, ...] = ("revenue", "net_income",
 
 def margin_stability(filings: DataFrame, fields=("gross_margin", "operating_margin", "revenue_growth")) -> DataFrame:
     """Adds {field}_stability_4q: minus the population deviation over the last four filings, 0 for one alone."""
-    w = FILED.rowsBetween(-3, 0)
+    w = by_filing().rowsBetween(-3, 0)
     return filings.select("*", *(F.when(F.count(f).over(w) >= 2, -F.stddev_pop(f).over(w)).otherwise(0.0).alias(f"{f}_stability_4q") for f in fields))
 
 
@@ -81,8 +82,8 @@ def filing_reaction(grid_bars: DataFrame, filings: DataFrame, bars: DataFrame, m
     """ticker_id, date, filing_surprise_3d, filing_drift_30d, filings_recency_days, filings_in_90d.
 
     grid_bars: ticker_id, date, pos.  No bar beyond ``pos`` is looked at."""
-    run = W.rowsBetween(Window.unboundedPreceding, 0)
-    b = bars.join(market, "trade_date", "left").withColumn("pos", F.row_number().over(W) - 1).withColumn("cum", F.sum(F.coalesce("mkt", F.lit(0.0))).over(run))
+    run = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
+    b = bars.join(market, "trade_date", "left").withColumn("pos", F.row_number().over(by_ticker()) - 1).withColumn("cum", F.sum(F.coalesce("mkt", F.lit(0.0))).over(run))
     placed = asof_join(filings.select("ticker_id", "filed_at").distinct(), b, ["ticker_id"], "filed_at", "trade_date", ["pos"], forward=True).withColumnRenamed("pos", "file_pos")
     g = asof_join(grid_bars.select("ticker_id", "date", "pos"), placed.withColumn("filed", F.col("filed_at")), ["ticker_id"], "date", "filed_at", ["filed", "file_pos"])
     old = F.coalesce(F.col("file_pos") > F.col("pos"), F.lit(True)) | F.col("filed").isNull()

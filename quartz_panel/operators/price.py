@@ -11,21 +11,23 @@ from pyspark.sql import functions as F
 from quartz_panel.functions.scalar import log_ratio
 
 HORIZONS = {"1M": 21, "3M": 63, "6M": 126, "1Y": 252}
-W = Window.partitionBy("ticker_id").orderBy("trade_date")
+def by_ticker():
+    """Bars of a ticker in order of their dates."""
+    return Window.partitionBy("ticker_id").orderBy("trade_date")
 
 
 def rows(n: int):
-    return W.rowsBetween(-(n - 1), 0)
+    return by_ticker().rowsBetween(-(n - 1), 0)
 
 
 def bar_index(bars: DataFrame) -> DataFrame:
     """Adds pos, the place of a bar in its ticker's history (from 0)."""
-    return bars.withColumn("pos", F.row_number().over(W) - 1)
+    return bars.withColumn("pos", F.row_number().over(by_ticker()) - 1)
 
 
 def with_daily(bars: DataFrame) -> DataFrame:
     """Adds daily, the log return from the bar before; null where a price is null or not positive."""
-    prev = F.lag("adj_close").over(W)
+    prev = F.lag("adj_close").over(by_ticker())
     return bars.withColumn("daily", F.when((F.col("adj_close") > 0) & (prev > 0), F.ln(F.col("adj_close") / prev)))
 
 
@@ -38,9 +40,9 @@ def rolling_sums(df: DataFrame, sums: dict[str, Column], wanted: list[tuple[str,
     """Adds {name}_{n}_{skip}: the sum of an expression over the n rows that end skip rows before the current one.
 
     Nulls count as 0.  One running sum for each expression, then a difference for each frame."""
-    run = W.rowsBetween(Window.unboundedPreceding, 0)
+    run = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
     df = df.select("*", *(F.sum(F.coalesce(e.cast("double"), F.lit(0.0))).over(run).alias(f"__{k}") for k, e in sums.items()))
-    at = lambda k, n: F.coalesce(F.lag(f"__{k}", n).over(W), F.lit(0.0)) if n else F.col(f"__{k}")
+    at = lambda k, n: F.coalesce(F.lag(f"__{k}", n).over(by_ticker()), F.lit(0.0)) if n else F.col(f"__{k}")
     df = df.select("*", *((at(k, skip) - at(k, skip + n)).alias(f"{k}_{n}_{skip}") for k, n, skip in wanted))
     return df.drop(*(f"__{k}" for k in sums))
 
@@ -62,7 +64,7 @@ def price_factors(bars: DataFrame, tickers: DataFrame, market: DataFrame | None
         [*((k, 251, 0) for k in ("n", "x", "y", "xx", "yy", "xy")), *((k, w, 0) for k in ("k", "d", "dd") for w in (20, 60, 120)), *((k, 120, 0) for k in ("ddd", "ad", "neg", "v")),
          ("p", 50, 0), ("p", 200, 0), ("v", 20, 0), ("v", 60, 0), ("il", 60, 0), ("iln", 60, 0), ("y", 231, 21), ("y", 126, 0)],
     )
-    lag = lambda n: F.lag("adj_close", n).over(W)
+    lag = lambda n: F.lag("adj_close", n).over(by_ticker())
     up = [F.when(lag(21 * (i - 1)) > 0, F.when(lag(21 * i) > 0, F.when(lag(21 * (i - 1)) > lag(21 * i), 1.0).otherwise(0.0))) if i > 1 else F.when((c("adj_close") > 0) & (lag(21) > 0), F.when(c("adj_close") > lag(21), 1.0).otherwise(0.0)) for i in range(1, 7)]
     n_up = sum((u.isNotNull().cast("double") for u in up), F.lit(0.0))
     df = df.select(
@@ -119,7 +121,7 @@ def forward_targets(bars: DataFrame) -> DataFrame:
     """Adds r_h (forward log return over h's bars, 0 where masked), up_h and mask_h for each horizon."""
     out = []
     for name, n in HORIZONS.items():
-        later = F.lead("adj_close", n).over(W)
+        later = F.lead("adj_close", n).over(by_ticker())
         ok = F.coalesce((F.col("adj_close") > 0) & (later > 0), F.lit(False))
         r = log_ratio(later, "adj_close")
         out += [F.when(ok, r).otherwise(0.0).alias(f"r_{name}"), (ok & (r > 0)).alias(f"up_{name}"), ok.alias(f"mask_{name}")]
@@ -160,6 +162,6 @@ def trailing_sharpe(bars: DataFrame, as_of=None, window: int = 252, days: int =
     limit = bars.agg(F.max("trade_date").alias("as_of")) if as_of is None else bars.sparkSession.createDataFrame([(as_of,)], "as_of date")
     recent = bars.crossJoin(F.broadcast(limit)).filter("trade_date <= as_of and trade_date >= date_sub(as_of, {})".format(days))
     last = recent.withColumn("rn", F.row_number().over(Window.partitionBy("ticker_id").orderBy(F.desc("trade_date")))).filter(F.col("rn") <= window)
-    ret = last.withColumn("prev", F.lag("adj_close").over(W)).filter("prev > 0").withColumn("r", F.col("adj_close") / F.col("prev") - 1)
+    ret = last.withColumn("prev", F.lag("adj_close").over(by_ticker())).filter("prev > 0").withColumn("r", F.col("adj_close") / F.col("prev") - 1)
     out = ret.groupBy("ticker_id").agg(F.count("r").alias("n"), F.avg("r").alias("a"), F.stddev_samp("r").alias("s"))
     return out.select("ticker_id", F.when((F.col("n") >= min_obs) & (F.col("s") > 0), F.col("a") / F.col("s") * F.sqrt(F.lit(252.0))).alias("sharpe"))

@@ -153,9 +153,9 @@ def _(spark, d):
     return P.month_end_grid(V.bars(spark, d))
 
 
-@query("j04_grid_bars", oracle("SELECT date, ticker_id, bar_date, pos, round(adj_close, 6) AS adj_close FROM grid_bars"))
+@query("j04_grid_bars", oracle("SELECT date, ticker_id, bar_date, pos, adj_close FROM grid_bars"))
 def _(spark, d):
-    return rounded(L.grid_bars(V.bars(spark, d)).select("date", "ticker_id", "bar_date", F.col("pos").cast("long").alias("pos"), "adj_close"))
+    return L.grid_bars(V.bars(spark, d)).select("date", "ticker_id", "bar_date", F.col("pos").cast("long").alias("pos"), "adj_close")
 
 
 def _probes(spark, d):
@@ -229,9 +229,9 @@ TTM = (
 )
 
 
-@query("w18_ttm", oracle("SELECT accession_number, round(ttm_revenue, 2) AS ttm_revenue, round(ttm_net_income, 2) AS ttm_net_income, round(ttm_fcf, 2) AS ttm_fcf FROM ttm", TTM))
+@query("w18_ttm", oracle("SELECT accession_number, round(ttm_revenue, 5) AS ttm_revenue, round(ttm_net_income, 5) AS ttm_net_income, round(ttm_fcf, 5) AS ttm_fcf FROM ttm", TTM))
 def _(spark, d):
-    return rounded(U.ttm(V.filings(spark, d)).select("accession_number", "ttm_revenue", "ttm_net_income", "ttm_fcf"), digits=2)
+    return rounded(U.ttm(V.filings(spark, d)).select("accession_number", "ttm_revenue", "ttm_net_income", "ttm_fcf"), digits=5)
 
 
 STABILITY = (
@@ -325,7 +325,7 @@ def _(spark, d):
 
 @query("p01_log_ratio", oracle("SELECT ticker_id, trade_date, round(coalesce(ln(adj_close / prev), 0), 6) + 0.0 AS log_ratio FROM px"))
 def _(spark, d):
-    return rounded(V.bars(spark, d).select("ticker_id", "trade_date", S.log_ratio("adj_close", F.lag("adj_close").over(P.W)).alias("log_ratio")))
+    return rounded(V.bars(spark, d).select("ticker_id", "trade_date", S.log_ratio("adj_close", F.lag("adj_close").over(P.by_ticker())).alias("log_ratio")))
 
 
 @query("p02_safe_ratio", oracle("SELECT accession_number, round(CASE WHEN abs(total_equity) > 1e-9 THEN net_income / total_equity ELSE 0 END, 6) + 0.0 AS ratio FROM filings"))

@@ -21,8 +21,10 @@ from .factor_queries import _KNIFE_Q, KNIFE, knife_panel, oracle, rounded, sql_r
 from .registry import query
 
 _BUCKET = "CAST((published_at AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York') + INTERVAL 8 HOUR AS DATE)"
-DAILY = ("daily", f"SELECT ticker_id, {_BUCKET} AS score_date, round(avg(sentiment_score), 4) AS mean_score, count(*) AS headline_count FROM headlines GROUP BY ALL")
-ROLL = ("rolled", "SELECT *, avg(mean_score) OVER (PARTITION BY ticker_id ORDER BY score_date RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) AS r7, avg(mean_score) OVER (PARTITION BY ticker_id ORDER BY score_date RANGE BETWEEN INTERVAL 13 DAY PRECEDING AND CURRENT ROW) AS r14 FROM daily")
+#: sums in ten-thousandths, means rounded half away from zero
+_MEAN = "(sign(sum({v})) * ((2 * abs(sum({v})) + count(*)) // (2 * count(*))))::BIGINT"
+DAILY = ("daily", f"SELECT ticker_id, {_BUCKET} AS score_date, {_MEAN.format(v='round(sentiment_score * 10000)::BIGINT')} AS m, count(*) AS headline_count FROM headlines GROUP BY ALL")
+ROLL = ("rolled", "SELECT a.ticker_id, a.score_date, " + ", ".join(f"(SELECT {_MEAN.format(v='b.m')} FROM daily b WHERE b.ticker_id = a.ticker_id AND b.score_date BETWEEN a.score_date - {n - 1} AND a.score_date) / 10000.0 AS rolling_{n}d" for n in (7, 14)) + " FROM daily a")
 
 
 def _daily(spark, d):
@@ -36,18 +38,18 @@ def _(spark, d):
     return V.headlines(spark, d).select("headline_id", close_bucket("published_at").alias("score_date"))
 
 
-@query("a02_sentiment_daily", oracle("SELECT ticker_id, score_date, round(mean_score, 3) + 0.0 AS mean_score, headline_count FROM (SELECT * REPLACE (round(mean_score, 4)::DOUBLE AS mean_score) FROM daily)", DAILY))
+@query("a02_sentiment_daily", oracle("SELECT ticker_id, score_date, m / 10000.0 + 0.0 AS mean_score, headline_count FROM daily", DAILY))
 def _(spark, d):
-    return _daily(spark, d).withColumn("mean_score", F.round(F.col("mean_score").cast("double"), 3) + 0.0)
+    return _daily(spark, d).withColumn("mean_score", F.col("mean_score").cast("double") + 0.0)
 
 
-@query("w21_rolling_sentiment", oracle("SELECT ticker_id, score_date, round(r7, 2) + 0.0 AS rolling_7d, round(r14, 2) + 0.0 AS rolling_14d FROM rolled", DAILY, ROLL))
+@query("w21_rolling_sentiment", oracle("SELECT ticker_id, score_date, rolling_7d + 0.0 AS rolling_7d, rolling_14d + 0.0 AS rolling_14d FROM rolled", DAILY, ROLL))
 def _(spark, d):
     r = N.rolling_sentiment(_daily(spark, d))
-    return r.select("ticker_id", "score_date", *((F.round(F.col(c).cast("double"), 2) + 0.0).alias(c) for c in ("rolling_7d", "rolling_14d")))
+    return r.select("ticker_id", "score_date", *((F.col(c).cast("double") + 0.0).alias(c) for c in ("rolling_7d", "rolling_14d")))
 
 
-@query("j05_bounded_fill", oracle("""SELECT g.ticker_id, g.date, CASE WHEN g.date - s.score_date <= 3 THEN s.score_date END AS score_date FROM (SELECT DISTINCT ticker_id, (DATE '2024-01-05' + 7 * k)::DATE AS date FROM daily CROSS JOIN range(5) t(k)) g
+@query("j05_bounded_fill", oracle("""SELECT g.ticker_id, g.date, CASE WHEN g.date - s.score_date <= 3 THEN s.score_date END AS score_date FROM (SELECT DISTINCT ticker_id, (DATE '2024-01-05' + (7 * k)::INT)::DATE AS date FROM daily CROSS JOIN range(5) t(k)) g
   ASOF LEFT JOIN daily s ON g.ticker_id = s.ticker_id AND g.date >= s.score_date""", DAILY))
 def _(spark, d):
     from quartz_panel.operators.asof import asof_join
@@ -131,13 +133,13 @@ def _(spark, d):
     return G.detect_drift(*_drift(spark, d))
 
 
-@query("s07_replace_drifted", oracle("SELECT ticker_id, trade_date, round(adj_close * CASE WHEN ticker_id % 3 = 0 AND trade_date >= DATE '2000-01-01' THEN 1.01 ELSE 1 END, 6) AS adj_close FROM bars WHERE ticker_id % 3 <> 0 OR trade_date >= DATE '2000-01-01'"))
+@query("s07_replace_drifted", oracle("SELECT ticker_id, trade_date, round(adj_close * CASE WHEN ticker_id % 3 = 0 AND trade_date >= DATE '2000-01-01' THEN 1.01::DOUBLE ELSE 1 END * 1.0000001::DOUBLE, 2) AS adj_close FROM bars WHERE ticker_id % 3 <> 0 OR trade_date >= DATE '2000-01-01'"))
 def _(spark, d):
     stored, new = _drift(spark, d)
-    return rounded(G.replace_drifted(stored, new, G.detect_drift(stored, new)).select("ticker_id", "trade_date", "adj_close"))
+    return rounded(G.replace_drifted(stored, new, G.detect_drift(stored, new)).select("ticker_id", "trade_date", (F.col("adj_close") * 1.0000001).alias("adj_close")), digits=2)
 
 
-@query("s08_filings_from_facts", oracle("SELECT ticker_id, accession_number, filing_type, period_end, round(revenue, 2) AS revenue, round(total_debt, 2) AS total_debt, round(fcf, 2) + 0.0 AS fcf FROM filings"))
+@query("s08_filings_from_facts", oracle("SELECT ticker_id, accession_number, filing_type, period_end, round(revenue, 5) AS revenue, round(total_debt, 5) AS total_debt, round(fcf, 5) + 0.0 AS fcf FROM filings"))
 def _(spark, d):
     f = V.filings(spark, d)
     days = F.when(F.col("filing_type") == "10-K", 364).otherwise(90)
@@ -149,7 +151,7 @@ def _(spark, d):
         fact("GrossProfit", F.lit(-3.0), F.date_sub("period_end", 465), 100),
     )
     long = f.select("ticker_id", F.col("accession_number").alias("accn"), F.col("filing_type").alias("form"), F.col("filed_at").alias("filed"), F.explode(facts).alias("x")).select("ticker_id", "accn", "form", "filed", "x.*")
-    return rounded(G.filings_from_facts(long).select("ticker_id", "accession_number", "filing_type", "period_end", "revenue", "total_debt", "fcf"), digits=2)
+    return rounded(G.filings_from_facts(long).select("ticker_id", "accession_number", "filing_type", "period_end", "revenue", "total_debt", "fcf"), digits=5)
 
 
 @query("s09_columns_by_label", oracle("SELECT ticker_id, as_of_date, eps_mean, num_analysts FROM estimates WHERE eps_mean IS NOT NULL OR num_analysts IS NOT NULL"))
@@ -224,9 +226,9 @@ def _ohlc(spark, d):
     return V.bars(spark, d).select("*", (F.col("adj_close") * 2).alias("close"), (F.col("adj_close") * 1.5).alias("open"), (F.col("adj_close") * 3).alias("high"), F.col("adj_close").alias("low"))
 
 
-@query("p10_adjusted_prices", oracle("SELECT ticker_id, trade_date, round(adj_close * 0.75, 6) AS open, round(adj_close * 1.5, 6) AS high, round(adj_close / 2, 6) AS low, round(adj_close, 6) AS close FROM bars WHERE trade_date >= (SELECT max(trade_date) - 186 FROM bars)"))
+@query("p10_adjusted_prices", oracle("SELECT ticker_id, trade_date, (adj_close * 1.5::DOUBLE) * (adj_close / (adj_close * 2)) AS open, (adj_close * 3) * (adj_close / (adj_close * 2)) AS high, adj_close * (adj_close / (adj_close * 2)) AS low, adj_close AS close FROM bars WHERE trade_date >= (SELECT max(trade_date) - 186 FROM bars)"))
 def _(spark, d):
-    return rounded(R.adjusted_prices(_ohlc(spark, d), "6m").drop("volume"))
+    return R.adjusted_prices(_ohlc(spark, d), "6m").drop("volume")
 
 
 @query("p11_search_tickers", oracle("SELECT ticker_id, symbol FROM tickers WHERE active AND (lower(symbol) LIKE '%0000001%' OR lower(industry) LIKE '%0000001%') ORDER BY symbol LIMIT 10"))
@@ -254,10 +256,10 @@ def _(spark, d):
     return r.select("date", "ticker_id", R.rank_tone("rank").alias("tone"), R.stability_label("s").alias("stability"), R.sentiment_tone("m").alias("sentiment"))
 
 
-@query("p14_fundamentals_fallback", oracle("SELECT coalesce(f.ticker_id, q.ticker_id) AS ticker_id, round(CASE WHEN f.ticker_id IS NOT NULL THEN f.revenue ELSE q.revenue END, 2) AS revenue, CASE WHEN f.ticker_id IS NOT NULL THEN 'filing' ELSE 'vendor' END AS origin FROM (SELECT ticker_id, arg_max(revenue, filed_at) AS revenue FROM filings WHERE ticker_id % 2 = 0 GROUP BY ticker_id) f FULL JOIN (SELECT ticker_id, arg_max(revenue, period_end) AS revenue FROM quarters GROUP BY ticker_id) q ON f.ticker_id = q.ticker_id"))
+@query("p14_fundamentals_fallback", oracle("SELECT coalesce(f.ticker_id, q.ticker_id) AS ticker_id, CASE WHEN f.ticker_id IS NOT NULL THEN f.revenue ELSE q.revenue END AS revenue, CASE WHEN f.ticker_id IS NOT NULL THEN 'filing' ELSE 'vendor' END AS origin FROM (SELECT ticker_id, arg_max(revenue, filed_at) AS revenue FROM filings WHERE ticker_id % 2 = 0 GROUP BY ticker_id) f FULL JOIN (SELECT ticker_id, arg_max(revenue, period_end) AS revenue FROM quarters GROUP BY ticker_id) q ON f.ticker_id = q.ticker_id"))
 def _(spark, d):
     f = R.latest(V.filings(spark, d).filter("ticker_id % 2 = 0"), "ticker_id", "filed_at", ["revenue"])
-    return rounded(R.with_fallback(f, R.latest(V.quarters(spark, d), "ticker_id", "period_end", ["revenue"]), "ticker_id", ["revenue"]), digits=2)
+    return rounded(R.with_fallback(f, R.latest(V.quarters(spark, d), "ticker_id", "period_end", ["revenue"]), "ticker_id", ["revenue"]), digits=9)
 
 
 @query("p15_zscore_array", oracle("SELECT ticker_id, list_transform(a, lambda x: round((x - list_avg(a)) / list_stddev_pop(a), 4) + 0.0) AS z FROM (SELECT ticker_id, list(adj_close ORDER BY trade_date) AS a FROM bars GROUP BY ticker_id)"))
@@ -276,10 +278,10 @@ def _(spark, d):
 LAST = ("last_close", "SELECT ticker_id, arg_max(adj_close, trade_date) AS adj_close, max(trade_date) AS trade_date FROM bars GROUP BY ticker_id")
 
 
-@query("j09_latest_row", oracle("SELECT h.user_id, h.ticker_id, round(c.adj_close, 6) AS adj_close, c.trade_date FROM holdings h LEFT JOIN last_close c ON h.ticker_id = c.ticker_id", LAST))
+@query("j09_latest_row", oracle("SELECT h.user_id, h.ticker_id, c.adj_close, c.trade_date FROM holdings h LEFT JOIN last_close c ON h.ticker_id = c.ticker_id", LAST))
 def _(spark, d):
     last = R.latest(V.bars(spark, d), "ticker_id", "trade_date", ["adj_close", "trade_date"])
-    return rounded(V.holdings(spark, d).select("user_id", "ticker_id").join(last, "ticker_id", "left"))
+    return V.holdings(spark, d).select("user_id", "ticker_id").join(last, "ticker_id", "left")
 
 
 @query("j10_symbol_join", oracle("SELECT ticker_id, symbol FROM tickers WHERE ticker_id % 2 = 0"))
@@ -295,11 +297,11 @@ def _(spark, d):
     return rounded(b.select("ticker_id", "trade_date").join(P.universe_returns(b), "trade_date", "left"), digits=9)
 
 
-@query("j13_splice_rows", oracle("SELECT ticker_id, trade_date, round(CASE WHEN ticker_id = 3 THEN adj_close * 2 ELSE adj_close END, 6) AS adj_close FROM bars"))
+@query("j13_splice_rows", oracle("SELECT ticker_id, trade_date, CASE WHEN ticker_id = 3 THEN adj_close * 2 ELSE adj_close END AS adj_close FROM bars"))
 def _(spark, d):
     b = V.bars(spark, d)
     fresh = b.filter("ticker_id = 3").withColumn("adj_close", F.col("adj_close") * 2)
-    return rounded(b.filter("ticker_id <> 3").unionByName(fresh).select("ticker_id", "trade_date", "adj_close"))
+    return b.filter("ticker_id <> 3").unionByName(fresh).select("ticker_id", "trade_date", "adj_close")
 
 
 def _live(spark, d):
@@ -382,23 +384,23 @@ def _(spark, d):
     return rounded(out.select("ticker_id", "symbol", "as_of_date", "score", "sector_label", "sharpe"))
 
 
-@query("q03_ticker_detail", oracle("""SELECT t.ticker_id, t.symbol, f.accession_number, round(c.adj_close, 6) AS adj_close, c.trade_date FROM tickers t LEFT JOIN (SELECT ticker_id, arg_max(accession_number, filed_at) AS accession_number FROM filings GROUP BY ticker_id) f ON t.ticker_id = f.ticker_id LEFT JOIN last_close c ON t.ticker_id = c.ticker_id""", LAST))
+@query("q03_ticker_detail", oracle("""SELECT t.ticker_id, t.symbol, f.accession_number, c.adj_close, c.trade_date FROM tickers t LEFT JOIN (SELECT ticker_id, arg_max(accession_number, filed_at) AS accession_number FROM filings GROUP BY ticker_id) f ON t.ticker_id = f.ticker_id LEFT JOIN last_close c ON t.ticker_id = c.ticker_id""", LAST))
 def _(spark, d):
     pred = _ranked(spark, d).select("ticker_id", F.lit("6M").alias("horizon"), F.col("date").alias("as_of_date"), F.col("rank").alias("score"))
-    return rounded(R.ticker_detail(V.tickers(spark, d), pred, V.filings(spark, d), _daily(spark, d), V.bars(spark, d)).select("ticker_id", "symbol", "accession_number", "adj_close", "trade_date"))
+    return R.ticker_detail(V.tickers(spark, d), pred, V.filings(spark, d), _daily(spark, d), V.bars(spark, d)).select("ticker_id", "symbol", "accession_number", "adj_close", "trade_date")
 
 
-@query("q04_portfolio", oracle("SELECT h.ticker_id, t.symbol, round(h.shares, 4) AS shares, round(h.cost_basis, 4) AS cost_basis, round(c.adj_close, 4) AS adj_close FROM holdings h JOIN tickers t ON h.ticker_id = t.ticker_id LEFT JOIN last_close c ON h.ticker_id = c.ticker_id WHERE h.user_id = 7", LAST))
+@query("q04_portfolio", oracle("SELECT h.ticker_id, t.symbol, h.shares, h.cost_basis, c.adj_close FROM holdings h JOIN tickers t ON h.ticker_id = t.ticker_id LEFT JOIN last_close c ON h.ticker_id = c.ticker_id WHERE h.user_id = 7", LAST))
 def _(spark, d):
-    return rounded(R.portfolio(V.holdings(spark, d), V.tickers(spark, d), V.bars(spark, d), 7).select("ticker_id", "symbol", "shares", "cost_basis", "adj_close"), digits=4)
+    return R.portfolio(V.holdings(spark, d), V.tickers(spark, d), V.bars(spark, d), 7).select("ticker_id", "symbol", "shares", "cost_basis", "adj_close")
 
 
-@query("q05_holding_changes", oracle("SELECT user_id, ticker_id, round(CASE WHEN ticker_id % 4 = 1 THEN 5.0 ELSE shares END, 4) AS shares, round(CASE WHEN ticker_id % 4 = 1 THEN NULL WHEN ticker_id % 4 = 2 THEN 9.0 ELSE cost_basis END, 4) AS cost_basis FROM holdings WHERE ticker_id % 4 <> 3"))
+@query("q05_holding_changes", oracle("SELECT user_id, ticker_id, CASE WHEN ticker_id % 4 = 1 THEN 5.0::DOUBLE ELSE shares END AS shares, CASE WHEN ticker_id % 4 = 1 THEN NULL WHEN ticker_id % 4 = 2 THEN 9.0::DOUBLE ELSE cost_basis END AS cost_basis FROM holdings WHERE ticker_id % 4 <> 3"))
 def _(spark, d):
     h = V.holdings(spark, d)
     k = F.col("ticker_id") % 4
     changes = h.filter(k > 0).select("user_id", "ticker_id", F.when(k == 1, 5.0).alias("shares"), F.when(k == 2, 9.0).alias("cost_basis"), F.when(k == 1, "put").when(k == 2, "patch").otherwise("delete").alias("op"))
-    return rounded(R.apply_holding_changes(h, changes), digits=4)
+    return R.apply_holding_changes(h, changes)
 
 
 @query("q06_job_status", """SELECT ticker_id, CASE WHEN status = 'running' THEN CASE WHEN ts < TIMESTAMP '2024-01-29 12:00:00' THEN 'failed' ELSE 'running' END WHEN status = 'failed' THEN 'failed' WHEN ticker_id % 2 = 0 THEN 'ready' ELSE 'insufficient_history' END AS state
@@ -569,11 +571,8 @@ SEQUENCE = ("windows", "SELECT ticker_id, trade_date, pos, list(adj_close) OVER
 
 @query("w31_sequence_windows", oracle("SELECT ticker_id, trade_date, round(list_avg(r), 6) + 0.0 AS mean, round(list_stddev_pop(r), 6) AS dev, len(r)::INT AS n FROM (SELECT ticker_id, trade_date, list_transform(range(2, 254), lambda i: ln(a[i] / a[i - 1])) AS r FROM windows WHERE pos >= 252 AND (pos - 252) % 21 = 0)", SEQUENCE))
 def _(spark, d):
-    out = sequence_windows(V.bars(spark, d), 21)
-    mean = F.aggregate("returns", F.lit(0.0), lambda s, x: s + x) / F.size("returns")
-    out = out.withColumn("mean", mean)
-    dev = F.sqrt(F.aggregate("returns", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / F.size("returns"))
-    return rounded(out.select("ticker_id", "trade_date", "mean", dev.alias("dev"), F.size("returns").alias("n")))
+    out = sequence_windows(V.bars(spark, d), 21).select("ticker_id", "trade_date", F.posexplode("returns").alias("i", "r"))
+    return rounded(out.groupBy("ticker_id", "trade_date").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("dev"), F.count("*").cast("int").alias("n")))
 
 
 def sequence_windows(bars, stride: int):
