@@ -312,9 +312,9 @@ def _live(spark, d):
 QUOTES = ("quotes", "SELECT ticker_id, CASE WHEN ticker_id % 3 <> 0 THEN adj_close * 1.1::DOUBLE ELSE adj_close END AS price, ticker_id % 3 = 0 AS stale, CASE ticker_id % 3 WHEN 0 THEN 0 WHEN 1 THEN adj_close * 1.1::DOUBLE - adj_close END AS change, CASE ticker_id % 3 WHEN 0 THEN 0 WHEN 1 THEN (adj_close * 1.1::DOUBLE - adj_close) / adj_close END AS change_pct FROM last_close")
 
 
-@query("j14_quotes", oracle("SELECT ticker_id, round(price, 6) AS price, stale, round(change, 6) AS change, round(change_pct, 6) AS change_pct FROM quotes", LAST, QUOTES))
+@query("j14_quotes", oracle("SELECT ticker_id, price, stale, change, change_pct FROM quotes", LAST, QUOTES))
 def _(spark, d):
-    return rounded(R.quotes_with_fallback(_live(spark, d), V.bars(spark, d)).drop("prev_close"))
+    return R.quotes_with_fallback(_live(spark, d), V.bars(spark, d)).drop("prev_close")
 
 
 @query("j15_active_predictions", oracle("SELECT n.ticker_id, symbol, round(score, 6) AS score FROM now_ n WHERE ticker_id IN (SELECT ticker_id FROM tickers WHERE active) AND ticker_id NOT IN (SELECT ticker_id FROM tickers WHERE user_added)", _KNIFE_Q, KNIFE, NOW))
