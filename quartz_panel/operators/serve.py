@@ -191,3 +191,11 @@ def schedule(calendar: DataFrame) -> DataFrame:
     month = Window.partitionBy(F.trunc("trade_date", "month"))
     d = calendar.select("trade_date").distinct()
     return d.select("trade_date", (F.dayofweek("trade_date") == 6).alias("friday"), (F.col("trade_date") == F.min("trade_date").over(month)).alias("first_of_month"), F.lead("trade_date").over(w).alias("next_day"))
+
+
+def shift_trading_days(dates: DataFrame, calendar: DataFrame, n: int, on: str = "date") -> DataFrame:
+    """Adds shifted: the trading day ``n`` days after (or before) each date; a date that is none counts from the next one, and 0 gives that."""
+    cal = calendar.select("trade_date").distinct().withColumn("i", F.row_number().over(Window.orderBy("trade_date")))
+    first = dates.select(on).distinct().join(F.broadcast(cal), F.col("trade_date") >= F.col(on)).groupBy(on).agg(F.min("i").alias("i"))
+    there = cal.select(F.col("trade_date").alias("shifted"), (F.col("i") - n).alias("i"))
+    return dates.join(first.join(F.broadcast(there), "i", "left").drop("i"), on, "left")

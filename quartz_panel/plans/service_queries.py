@@ -436,6 +436,12 @@ def _(spark, d):
     return R.schedule(V.bars(spark, d))
 
 
+@query("q11_shift_trading_days", oracle("SELECT f.filed_at, b.trade_date AS shifted FROM (SELECT filed_at, min(i) AS i FROM (SELECT DISTINCT filed_at FROM filings) JOIN days ON trade_date >= filed_at GROUP BY filed_at) f LEFT JOIN days b ON b.i = f.i + 5", ("days", "SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM (SELECT DISTINCT trade_date FROM bars)")))
+def _(spark, d):
+    dates = V.filings(spark, d).select("filed_at").distinct()
+    return R.shift_trading_days(dates, V.bars(spark, d), 5, "filed_at").filter(F.col("filed_at") <= V.bars(spark, d).agg(F.max("trade_date")).first()[0])
+
+
 @query("x16_feature_columns", oracle("SELECT date, ticker_id, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in [*L.PACKS["price"], "max_ret_21d", "idio_vol"]) + " FROM panel"))
 def _(spark, d):
     cols = L.feature_columns(("lottery",), base=("price",))
