@@ -63,28 +63,47 @@ def by_document(rows: DataFrame, name: str, most_broadcast_bytes: int) -> DataFr
     return F.broadcast(table) if size <= most_broadcast_bytes else table
 
 
-def repeated_windows(docs: DataFrame, anchors: Callable, windows: Callable, keep_first: bool, most_broadcast_bytes: int) -> DataFrame:
-    """doc_id, ranges of windows that occur again; with ``keep_first``, of those that occur earlier
-    (smaller doc_id, or the same and an earlier start).  Rows that repeat a doc_id count once."""
-    texts = docs.filter("doc_id is not null").select("doc_id", "text")
+def _decided(rows: DataFrame, keep_first: bool, name: str) -> DataFrame:
+    """doc_id, first, last, sure, open of rows whose key isn't alone: a written table."""
     alike, key = Window.partitionBy("key", "content"), Window.partitionBy("key")
     here = F.struct("doc_id", "place")
-    rows = texts.mapInArrow(anchors, ANCHOR_SCHEMA)
     rows = rows.withColumn("lo", F.min(here).over(alike)).withColumn("hi", F.max(here).over(alike))
     rows = rows.withColumn("mixed", F.min("content").over(key) != F.max("content").over(key))
     again, opening = F.col("lo") != F.col("hi"), F.col("lo") == here
     first = F.shiftright("place", SPAN_BITS)
     last = first + F.col("place").bitwiseAND(F.lit((1 << SPAN_BITS) - 1))
     rows = rows.select("doc_id", "place", (~opening if keep_first else again).alias("sure"), (opening & F.col("mixed")).alias("open"))
-    rows = written(rows.filter("sure or open").select("doc_id", first.alias("first"), last.alias("last"), "sure", "open"), "repeats")
+    return written(rows.filter("sure or open").select("doc_id", first.alias("first"), last.alias("last"), "sure", "open"), name)
+
+
+def with_ranges(texts: DataFrame, ranges: DataFrame, most_broadcast_bytes: int, inner: bool = False) -> DataFrame:
+    """``texts`` with the ranges of their doc_id.  If the ids with ranges are few enough to be sent, other texts aren't shuffled."""
+    ids = ranges.select("doc_id")
+    if ranges.count() * 16 > most_broadcast_bytes:
+        return texts.join(ranges, "doc_id", "inner" if inner else "left")
+    hit = texts.join(F.broadcast(ids), "doc_id", "left_semi").join(ranges, "doc_id")
+    return hit if inner else hit.unionByName(texts.join(F.broadcast(ids), "doc_id", "left_anti").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType)))
+
+
+def repeated_windows(docs: DataFrame, anchors: Callable, windows: Callable, keep_first: bool, most_broadcast_bytes: int, blocks: Callable | None = None) -> DataFrame:
+    """doc_id, ranges of windows that occur again; with ``keep_first``, of those that occur earlier
+    (smaller doc_id, or the same and an earlier start).  Rows that repeat a doc_id count once.
+
+    ``blocks`` splits open rows into blocks of windows, decided in the same way before single windows are."""
+    texts = docs.filter("doc_id is not null").select("doc_id", "text")
+    rows = _decided(texts.mapInArrow(anchors, ANCHOR_SCHEMA), keep_first, "repeats")
+    sure = rows.filter("sure").select("doc_id", "first", "last")
     todo = by_document(rows.filter("open"), "open", most_broadcast_bytes)
-    ids = broadcast_if_below(todo.select("doc_id"), 16, most_broadcast_bytes)
-    single = texts.join(ids, "doc_id", "left_semi").join(todo, "doc_id").mapInArrow(windows, WINDOW_SCHEMA)
+    if blocks:
+        rows = _decided(with_ranges(texts, todo, most_broadcast_bytes, True).select("doc_id", "text", "ranges").mapInArrow(blocks, ANCHOR_SCHEMA), keep_first, "blocks")
+        sure = sure.union(rows.filter("sure").select("doc_id", "first", "last"))
+        todo = by_document(rows.filter("open"), "open", most_broadcast_bytes)
+    single = with_ranges(texts, todo, most_broadcast_bytes, True).select("doc_id", "text", "ranges").mapInArrow(windows, WINDOW_SCHEMA)
     here = F.struct("doc_id", "first")
     equal = Window.partitionBy("h1", "h2")
     single = single.withColumn("lo", F.min(here).over(equal)).withColumn("hi", F.max(here).over(equal))
-    found = single.filter(here != F.col("lo") if keep_first else again).select("doc_id", "first", F.col("first").alias("last"))
-    return by_document(rows.filter("sure").select("doc_id", "first", "last").union(found), "repeated", most_broadcast_bytes)
+    found = single.filter(here != F.col("lo") if keep_first else F.col("lo") != F.col("hi")).select("doc_id", "first", F.col("first").alias("last"))
+    return by_document(sure.union(found), "repeated", most_broadcast_bytes)
 
 
 def rows_of(batch: pa.RecordBatch, row: np.ndarray, key, content, first, last) -> pa.RecordBatch:

@@ -4,8 +4,8 @@ The suffixes that matter are those a long repeat can begin at; they are sampled
 200 bytes has one sample, the place in it whose next 50 bytes have the least hash, so equal windows
 have equal samples, about one in 75 bytes.  Sample suffixes are named by those bytes and sorted by
 Spark's external sort; what is decided for a sample is induced for the windows around it: rows with
-equal surroundings decide for all their windows at once, and the rest are resolved window by window
-(see ``repeats``).  Why this and not full suffix tuples in priority queues is in the README.
+equal surroundings decide for all their windows at once, the rest are cut into blocks of windows and
+decided again, and what is still open is resolved window by window (see ``repeats``).  Why this and not full suffix tuples in priority queues is in the README.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import RANGES, covered, pieces, repeated_windows, rows_of
+from .repeats import RANGES, covered, pieces, repeated_windows, rows_of, with_ranges
 from .substring_dedup import _whole
 from .textops import Rolling, byte_values, mix, signed, text_chunks
 
@@ -69,6 +69,40 @@ def _rows(batch, row, data, first, shift, window, gram) -> Iterator[pa.RecordBat
     )
 
 
+def _samples(data: np.ndarray, rolling: Rolling, at: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """The sampled place of each window that starts at ``at``."""
+    places = np.arange(len(data) - gram + 1)
+    named = rolling.spans(places, places + gram)
+    return (sliding_least((named & np.uint64(0xFFFFFFFFFF000000)) | places.astype(np.uint64), window - gram + 1)[at] & np.uint64(0xFFFFFF)).astype(np.int64)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Open rows cut into blocks of windows at fixed distances from their sample.
+
+    A block's key is the hash of the bytes that all of its windows have in common: if that is alone, none of them repeats."""
+    for batch in batches:
+        todo = batch.column(2)
+        for lo, hi, data, offsets in text_chunks(batch, most_bytes=MOST):
+            for i in range(lo, hi):  # one text at a time, in parts if it is long
+                text = data[offsets[i - lo] : offsets[i - lo + 1]]
+                ranges = todo[i].as_py()
+                wanted = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges])
+                for a, b in pieces(len(text), window, MOST):
+                    at = wanted[(wanted >= a) & (wanted + window <= b)] - a
+                    if b < len(text):
+                        at = at[at < MOST]
+                    if not len(at):
+                        continue
+                    rolling = Rolling(byte_values(text[a:b]))
+                    sample = _samples(text[a:b], rolling, at, window, gram)
+                    k = (sample - at) // block
+                    cut = np.flatnonzero(np.concatenate([[True], (sample[1:] != sample[:-1]) | (k[1:] != k[:-1]) | (np.diff(at) != 1)]))
+                    last = np.append(cut[1:], len(at)) - 1
+                    q, k = sample[cut], k[cut]
+                    core = rolling.spans(q - k * block, q - np.minimum(k * block + block - 1, window - gram) + window, 7)
+                    yield rows_of(batch, np.full(len(cut), i), signed(mix(core + k.astype(np.uint64), 8)), signed(rolling.spans(at[cut], at[last] + window, 2)), at[cut] + a, at[last] + a)
+
+
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         todo = batch.column(2)
@@ -112,7 +146,7 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
 
-def suffix_dedup(docs: DataFrame, window: int = 200, gram: int = 50, most_broadcast_bytes: int = 8 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 200, gram: int = 50, block: int = 8, most_broadcast_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_bytes, removed (ranges of bytes), kept (the other bytes; they need not be UTF-8).
 
     A byte goes if a string of ``window`` bytes of its document covers it that also starts at another
@@ -120,9 +154,6 @@ def suffix_dedup(docs: DataFrame, window: int = 200, gram: int = 50, most_broadc
     one document and get equal results; a row with a null doc_id is compared with nothing but its own
     runs of one byte.  An empty table gives an empty result; other columns are ignored.
     """
-    ranges = repeated_windows(docs, lambda b: _anchors(b, window, gram), lambda b: _windows(b, window), False, most_broadcast_bytes)
-    return (
-        docs.select("doc_id", "text")
-        .join(ranges, "doc_id", "left")
-        .mapInArrow(lambda b: _kept(b, window), f"doc_id long, n_bytes long, {RANGES.replace('ranges', 'removed')}, kept binary")
-    )
+    ranges = repeated_windows(docs, lambda b: _anchors(b, window, gram), lambda b: _windows(b, window), False, most_broadcast_bytes, lambda b: _blocks(b, window, gram, block))
+    rows = with_ranges(docs.select("doc_id", "text"), ranges, most_broadcast_bytes).select("doc_id", "text", "ranges")
+    return rows.mapInArrow(lambda b: _kept(b, window), f"doc_id long, n_bytes long, {RANGES.replace('ranges', 'removed')}, kept binary")
