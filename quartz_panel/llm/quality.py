@@ -104,7 +104,10 @@ def quality_rules(docs: DataFrame, host: str = "source", limit: int = 100, least
         .groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
         .agg(F.sum("n").alias("__words"), F.count("*").alias("__lines"), *([F.collect_list("pos").alias("__pos")] if with_text else []))
     )
-    removed = broadcast_if_below(written(removed, "lines-removed"), 400 if with_text else 64, most_broadcast_bytes)
+    removed = written(removed, "lines-removed")
+    losing = removed.select(F.col("__id").alias("__losing")).distinct()
+    few = with_text and removed.count() * 32 <= most_broadcast_bytes
+    removed = removed if with_text else broadcast_if_below(removed, 64, most_broadcast_bytes)
     own = [F.col(f"`{c}`") for c in docs.columns] if with_text else [F.col("doc_id")]
     t = docs.select(*own, text.alias("__text"))
     t = t.select(*own, "__text", words_of(F.col("__text")).alias("__w"), F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__l"))
@@ -119,7 +122,15 @@ def quality_rules(docs: DataFrame, host: str = "source", limit: int = 100, least
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("__dup"),
         "__repeat",
     )
-    t = t.join(removed, t["doc_id"].eqNullSafe(removed["__id"]) & (t["__d"] == removed["__digest"]), "left")
+    with_lines = lambda t: t.join(removed, t["doc_id"].eqNullSafe(removed["__id"]) & (t["__d"] == removed["__digest"]), "left")
+    if few:  # the ids are sent, and only texts that lose lines are shuffled
+        loses = t["doc_id"].eqNullSafe(F.col("__losing"))
+        rest = t.join(F.broadcast(losing), loses, "left_anti")
+        for column in removed.schema:
+            rest = rest.withColumn(column.name, F.lit(None).cast(column.dataType))
+        t = with_lines(t.join(F.broadcast(losing), loses, "left_semi")).unionByName(rest)
+    else:
+        t = with_lines(t)
     gone = F.coalesce("__words", F.lit(0)).cast("long")
     failed = (F.col("__n") < 50) | (100 * F.col("__repeat") > 50 * F.col("__n"))
     stats = [
