@@ -33,6 +33,8 @@ from .store import broadcast_if_below, written
 from .textops import LOWER, mix, signed, text_chunks, word_hashes, words
 
 TABLE_BITS = 26
+#: the smallest keys of a document, carried to tell in which block a pair is tried
+LISTED_KEYS = 64
 
 
 @dataclass(frozen=True)
@@ -245,10 +247,14 @@ def ngram_jaccard_join(docs: DataFrame, setting: Setting | None = None, most_bro
 
     known = blocks.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
     open_blocks = known.withColumn("least", F.min("part").over(by_key)).withColumn("most", F.max("part").over(by_key)).filter("least <> most").select("key", "doc_id", "part")
-    open_blocks = written(open_blocks.join(sketches, "doc_id"), "open-blocks")
-    x, y = (open_blocks.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "part", "n", "sketch"))) for k in "ab")
+    of_doc = open_blocks.groupBy("doc_id", "part").agg(F.collect_set("key").alias("keys")).withColumn("least", F.slice(F.array_sort("keys"), 1, LISTED_KEYS))
+    open_blocks = written(of_doc.join(sketches, "doc_id").withColumn("key", F.explode("keys")).drop("keys"), "open-blocks")
+    x, y = (open_blocks.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "part", "n", "sketch", "least"))) for k in "ab")
     c = F.col
-    tried = x.join(y, (x["key"] == y["key"]) & (c("doc_id_a") < c("doc_id_b")) & (c("part_a") != c("part_b")) & _may_link(c("n_a"), c("sketch_a"), c("n_b"), c("sketch_b"), s))
+    near = _may_link(c("n_a"), c("sketch_a"), c("n_b"), c("sketch_b"), s)
+    # a pair is tried in the block of its smallest common key; beyond the listed keys it may be tried again, never left out
+    first = F.coalesce(F.array_min(F.array_intersect("least_a", "least_b")) >= x["key"], F.lit(True))
+    tried = x.join(y, (x["key"] == y["key"]) & (c("doc_id_a") < c("doc_id_b")) & (c("part_a") != c("part_b")) & near & first)
     more = _verify(tried.select(c("doc_id_a").alias("a"), c("doc_id_b").alias("b")).distinct(), docs, s, most_broadcast_bytes)
     if not more.isEmpty():
         parts = connected_components(links.union(more))
