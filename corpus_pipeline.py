@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartz_panel.llm.exact_dedup import deduplicated
-from quartz_panel.llm.ngram_join import ngram_jaccard_join
+from quartz_panel.llm.ngram_join import Setting, ngram_jaccard_join
 from quartz_panel.llm.packing import packed
 from quartz_panel.llm.quality import quality_rules
 from quartz_panel.llm.store import broadcast_if_below, written
 from quartz_panel.llm.substring_dedup import substring_dedup
 
 
+#: Near-duplicates of the pipeline: 5-word shingles, similarity 0.8 or more.  The zone is twice the prefix, as by default.
+NEAR = Setting(shingle=5, percent=80, zone=102)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without their boilerplate lines."""
     judged = quality_rules(docs).filter("quality.kept")
@@ -30,7 +34,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id."""
-    gone = written(ngram_jaccard_join(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "near-gone")
+    gone = written(ngram_jaccard_join(docs, NEAR).filter("doc_id <> component_id").select("doc_id").distinct(), "near-gone")
     return docs.join(broadcast_if_below(gone, 32, 8 << 20), "doc_id", "left_anti").select(*docs.columns)
 
 
