@@ -532,15 +532,25 @@ def _streamed(spark, d, build, mode="append", schema_of=None):
     return spark.read.parquet(f"{base}/out")
 
 
-def _events_to_headlines(e):
-    return e.select(F.col("user_id").alias("ticker_id"), F.col("ts").cast("timestamp").alias("published_at"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"), ((F.col("value") - 50) / 100).alias("sentiment_score"))
+def headline_stream(spark, d, max_files: int | None = None):
+    """The events table as a stream of headlines: daily rows, those of open windows too.
 
-
-@query("t01_headline_stream")
-def _(spark, d):
+    Headlines up to 14 days behind the batches before count; by default all waiting files are one batch, so none of
+    them makes another's rows late."""
     from quartz_panel.streaming import streams as T
 
-    return T.merge_daily(_streamed(spark, d, lambda e: T.headline_daily(_events_to_headlines(e), "1 hour")))
+    base = tempfile.mkdtemp(prefix="spark-stream-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/headlines-{spark.sparkContext.applicationId}"
+    write, read = T.upsert_sink(f"{base}/daily", ["bucket", "ticker_id", "score_date"], "headline_count")
+    source = spark.readStream.schema(V.table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet")
+    events = (source.option("maxFilesPerTrigger", max_files) if max_files else source).parquet(f"{d}/events.parquet*")
+    daily = T.headline_daily(V.headlines_of(events))
+    daily.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return T.merge_daily(read(spark))
+
+
+@query("t01_headline_stream", oracle("SELECT ticker_id, score_date, m / 10000.0 + 0.0 AS mean_score, headline_count FROM daily", DAILY))
+def _(spark, d):
+    return headline_stream(spark, d).withColumn("mean_score", F.col("mean_score").cast("double") + 0.0)
 
 
 @query("t02_bar_upsert_stream", "SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")

@@ -134,7 +134,11 @@ def short_interest(spark, d) -> DataFrame:
 
 
 def headlines(spark, d) -> DataFrame:
-    return table(spark, d, "events").select(
+    return headlines_of(table(spark, d, "events"))
+
+
+def headlines_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("headline_id"),
         F.col("user_id").alias("ticker_id"),
         F.col("ts").cast("timestamp").alias("published_at"),

@@ -12,14 +12,15 @@ from quartz_panel.operators.serve import latest
 def headline_daily(headlines: DataFrame, late: str = "14 days") -> DataFrame:
     """Streaming daily means by (ticker, close-bucketed day) of headlines deduplicated by url within the watermark.
 
-    The day is the window of the bucketed time, so a row up to ``late`` behind still counts."""
+    The day is the window of the bucketed time, so a row up to ``late`` behind still counts.  In update mode each batch
+    gives the changed windows with all that they hold so far; in append mode a window waits until the watermark passes it."""
     h = headlines.withWatermark("published_at", late).dropDuplicatesWithinWatermark(["url"])
     h = h.withColumn("bucket", F.window(F.col("published_at"), "1 day"))
-    return h.groupBy("bucket", "ticker_id", close_bucket("published_at").alias("score_date")).agg(F.sum("sentiment_score").alias("total"), F.count("*").alias("headline_count"))
+    return h.groupBy("bucket", "ticker_id", close_bucket("published_at").alias("score_date")).agg(F.sum(F.col("sentiment_score").cast("decimal(10,6)")).alias("total"), F.count("*").alias("headline_count"))
 
 
 def merge_daily(stored: DataFrame) -> DataFrame:
-    """Appended window parts to one row for each (ticker, day)."""
+    """Windows' latest parts to one row for each (ticker, day)."""
     d = stored.groupBy("ticker_id", "score_date").agg(F.sum("total").alias("t"), F.sum("headline_count").alias("headline_count"))
     return d.select("ticker_id", "score_date", (F.col("t") / F.col("headline_count")).cast("decimal(6,4)").alias("mean_score"), "headline_count")
 
