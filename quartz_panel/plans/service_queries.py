@@ -468,15 +468,23 @@ def _(spark, d):
     return _train(spark, d).limit(1).select((F.round(F.lit(float(m.coefficients[0])), 4) + 0.0).alias("b_mom"), (F.round(F.lit(float(m.coefficients[1])), 4) + 0.0).alias("b_vol"))
 
 
+#: the features of the prepared panel
+_FEATURES = [c for p in L.PACKS if p != "other" for c in L.PACKS[p]] + ["eps_dispersion", "short_ratio"]
+
+
+def _prepared(spark, d):
+    return L.prepared_panel(spark, d, ("3M",)).filter("mask_3M").select("date", "ticker_id", "knife_score", *_FEATURES, "r_3M")
+
+
 @query("m05_boosted_trees")
 def _(spark, d):
-    t = _train(spark, d).cache()
-    return M.predict(M.fit_trees(t, _RIDGE, "r_3M", seeds=2, rounds=5), t, _RIDGE).select("date", "ticker_id", "pred")
+    t = _prepared(spark, d).cache()
+    return M.predict(M.fit_trees(t, _FEATURES, "r_3M", seeds=2), t, _FEATURES).select("date", "ticker_id", "pred")
 
 
 @query("m07_walk_forward_ic")
 def _(spark, d):
-    out = M.walk_forward(_train(spark, d), _RIDGE, "r_3M", "r_3M", 63, M.fit_ridge, every=6)
+    out = M.walk_forward(_prepared(spark, d), _FEATURES, "r_3M", "r_3M", 63, M.fit_ridge)
     return E.ic_summary(E.rank_ic(out, 5))
 
 
