@@ -10,6 +10,7 @@ its letters.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +29,41 @@ RANGES = [
     (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"),
     (0xFB00, "latin"), (0xFB07, "other"), (0x20000, "han"), (0x30000, "other"),
 ]
-SCRIPTS = sorted({s for _, s in RANGES})
-_STARTS = np.array([a for a, _ in RANGES])
-_SCRIPT_OF = np.array([SCRIPTS.index(s) for _, s in RANGES], np.int8)
+#: First and last code points of further blocks, and their scripts.  Any other letter is of the script "rest".
+BLOCKS = [
+    (0x700, 0x74F, "syriac"), (0x750, 0x77F, "arabic"), (0x780, 0x7BF, "thaana"), (0x7C0, 0x7FF, "nko"), (0x860, 0x86F, "syriac"), (0x870, 0x8FF, "arabic"), (0xE80, 0xEFF, "lao"),
+    (0xF00, 0xFFF, "tibetan"), (0x1000, 0x109F, "myanmar"), (0x1200, 0x139F, "ethiopic"), (0x13A0, 0x13FF, "cherokee"), (0x1400, 0x167F, "canadian"), (0x1780, 0x17FF, "khmer"),
+    (0x1800, 0x18AF, "mongolian"), (0x18B0, 0x18FF, "canadian"), (0x1C80, 0x1C8F, "cyrillic"), (0x1C90, 0x1CBF, "georgian"), (0x1D00, 0x1DBF, "latin"), (0x2C60, 0x2C7F, "latin"),
+    (0x2D00, 0x2D2F, "georgian"), (0x2D80, 0x2DDF, "ethiopic"), (0x2DE0, 0x2DFF, "cyrillic"), (0x3005, 0x3007, "han"), (0x3100, 0x312F, "bopomofo"), (0x3130, 0x318F, "hangul"),
+    (0x31A0, 0x31BF, "bopomofo"), (0x31F0, 0x31FF, "kana"), (0xA000, 0xA4CF, "yi"), (0xA640, 0xA69F, "cyrillic"), (0xA720, 0xA7FF, "latin"), (0xA8E0, 0xA8FF, "indic"),
+    (0xA960, 0xA97F, "hangul"), (0xA9E0, 0xA9FF, "myanmar"), (0xAA60, 0xAA7F, "myanmar"), (0xAB00, 0xAB2F, "ethiopic"), (0xAB30, 0xAB6F, "latin"), (0xAB70, 0xABBF, "cherokee"),
+    (0xFB13, 0xFB17, "armenian"), (0xFB1D, 0xFB4F, "hebrew"), (0xFB50, 0xFDFF, "arabic"), (0xFE70, 0xFEFF, "arabic"), (0xFF21, 0xFF5A, "latin"), (0xFF66, 0xFF9F, "kana"),
+    (0xFFA0, 0xFFDC, "hangul"), (0x1B000, 0x1B16F, "kana"), (0x30000, 0x323AF, "han"),
+]
+#: Blocks of marks and selectors that belong to no script.
+NO_SCRIPT = [(0x300, 0x36F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE00, 0xFE0F), (0xFE20, 0xFE2F), (0xE0100, 0xE01EF)]
+SCRIPTS = sorted({s for *_, s in RANGES} | {s for *_, s in BLOCKS} | {"rest"})
 _OTHER = SCRIPTS.index("other")
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: its script ("other" unless a letter, or a mark of a script), and whether it is a letter."""
+    kind = np.frombuffer("".join(unicodedata.category(chr(c))[0] for c in range(0x110000)).encode(), "S1")
+    letter, mark = kind == b"L", kind == b"M"
+    starts = np.array([a for a, _ in RANGES])
+    script = np.array([SCRIPTS.index(s) for _, s in RANGES], np.int8)[np.searchsorted(starts, np.arange(0x110000), "right") - 1]
+    for a, b, name in BLOCKS:
+        script[a : b + 1] = SCRIPTS.index(name)
+    script[(script == _OTHER) & (letter | mark)] = SCRIPTS.index("rest")
+    for a, b in NO_SCRIPT:
+        script[a : b + 1] = _OTHER
+    script[~letter & ~mark] = _OTHER
+    return script, letter
+
+
+_SCRIPT, _LETTER = _tables()
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -46,7 +76,7 @@ def _letters(texts: list[str], bits: int):
     """For the concatenated texts: script of each word, its text, its grams' buckets and their word."""
     joined = "\n".join(texts).lower() + "\n"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    script = _SCRIPT_OF[np.searchsorted(_STARTS, codes, "right") - 1]
+    script = _SCRIPT[codes]
     solid = script != _OTHER
     before = np.zeros_like(solid)
     before[1:] = solid[:-1] & (script[1:] == script[:-1])
@@ -54,6 +84,12 @@ def _letters(texts: list[str], bits: int):
     after = np.zeros_like(solid)
     after[:-1] = solid[1:] & (script[1:] == script[:-1])
     ends = np.flatnonzero(solid & ~after) + 1
+    # marks alone are no word
+    letters = np.concatenate([[0], np.cumsum(_LETTER[codes])])
+    for a, b in np.stack([starts, ends], 1)[letters[ends] == letters[starts]]:
+        solid[a:b] = False
+    worded = letters[ends] > letters[starts]
+    starts, ends = starts[worded], ends[worded]
     line = np.cumsum(codes == 10)
     # the lower-cased form of a text has as many lines as the text; texts' lines add up
     per_text = np.array([t.count("\n") + 1 for t in texts], np.int64)
@@ -167,7 +203,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], model: Model, penalty: float, s
 def identify(docs: DataFrame, model: Model, penalty: float = 12.0, spans: bool = True) -> DataFrame:
     """doc_id, lang_pred, score (share of letters in that language), spans (lang, first and end word); a row for each row.
 
-    Words are runs of letters of one script.  A null text, or one without a letter, is ``und`` with
+    Words are runs of letters (Unicode category L) and marks of one script.  A null text, or one without a letter, is ``und`` with
     score 0.  Of languages with equally many letters the first in alphabetical order is given.  The model is sent
     to the tasks: languages x 2**bits x 4 bytes.  Other columns are ignored.
     """
