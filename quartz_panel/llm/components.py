@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import Scratch
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node, component (the smallest node that links reach) for every node of ``links`` (a, b).
 
     A round takes the least label over the neighbours and then the label's own label, so long chains
-    halve.  Each round is a written table; hot nodes are pre-aggregated before the shuffle."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
-    for _ in range(most_rounds):
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        least = labels.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("near"))
-        jump = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        new = written(least.join(jump, "near").select("node", "old", F.least("near", "far").alias("component")), "labels")
-        labels = new.select("node", "component")
-        if new.filter("component <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    halve; rounds go on until no label changes.  Each is a written table, the one before is deleted;
+    hot nodes are pre-aggregated before the shuffle."""
+    keep = scratch or Scratch(links.sparkSession)
+    both = keep.written(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
+    labels = keep.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"), F.lit(True).alias("moved")), "labels")
+    while not labels.filter("moved").isEmpty():
+        now = labels.select("node", "component")
+        heard = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
+        least = now.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("near"))
+        jump = now.select(F.col("node").alias("near"), F.col("component").alias("far"))
+        new = least.join(jump, "near").select("node", F.least("near", "far").alias("component"), (F.least("near", "far") < F.col("old")).alias("moved"))
+        new = keep.written(new, "labels")
+        keep.drop(labels)
+        labels = new
+    keep.drop(both)
+    return labels

@@ -34,6 +34,30 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Written tables of one computation.  Those no longer read are deleted at once by ``drop``, so disk follows what is in use."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        path = new_table_path(self.spark, name)
+        df.write.option("compression", codec).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables whose readers have all been written."""
+        for table in tables:
+            delete(self.spark, self.paths.pop(id(table))[1])
+
+
 def broadcast_if_below(df: DataFrame, row_bytes: int, most_bytes: int) -> DataFrame:
     """Hint a broadcast when the counted rows fit; otherwise leave the choice of join to Spark.
 

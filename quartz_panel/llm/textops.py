@@ -1,10 +1,11 @@
 """Numpy over the text buffers of Arrow batches: words, their hashes and rolling hashes.
 
-All hashes are unsigned 64-bit with wrap-around; products with odd constants are invertible, which
-lets a prefix sum give the hash of any span (``spans``)."""
+All hashes are unsigned 64-bit with wrap-around.  Words are hashed lane by lane through a mixing step that isn't linear; spans of
+longer sequences come from a prefix sum (``spans``): they choose candidates, which callers compare by their words or bytes."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_LANE_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 #: \x20 and \x09-\x0D end words.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -92,8 +95,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, after, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Rolling(byte_values(data)).spans(starts, ends)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: int = 64) -> np.ndarray:
+    """A hash of each word: its 8-byte lanes are mixed in one after another; words over ``long`` bytes go through BLAKE2b."""
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    left = ends - starts
+    h, at, todo = mix(left.astype(np.uint64), 13), starts, slice(None)
+    for _ in range(0, long, 8):
+        value = lanes[at] & _LANE_MASKS[np.minimum(left, 8)]
+        h[todo] = mix(h[todo] ^ value, 17)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        at, left = at[more] + 8, left[more] - 8
+        todo = more if isinstance(todo, slice) else todo[more]
+    for i in np.flatnonzero(ends - starts > long).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def signed(h: np.ndarray) -> np.ndarray:
