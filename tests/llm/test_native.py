@@ -73,6 +73,22 @@ def test_boilerplate_goes_but_for_one_carrier(spark, broadcast):
     assert sum(got[20 + i].kept for i in range(5)) == 1  # one carrier keeps the lines, the others are depleted
 
 
+@pytest.mark.parametrize("broadcast", [0, 8 << 20])
+def test_quality_carries_clashing_columns(spark, broadcast):
+    names = ["doc_id", "text", "source", "quality", "row", "kept", "__text", "__w", "__id", "__losing"]
+    body = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(6))
+    df = spark.createDataFrame([(1, f"{body}\nmenu", "h", *range(7)), (2, f"{body} y\nmenu", "h", *range(7)), (3, None, None, *range(7))], names)
+    got = {r.doc_id: r for r in Q.quality_rules(df, limit=1, most_broadcast_bytes=broadcast).collect()}
+    assert all(r.row.quality == 0 and r.row.kept == 2 and r.row["__losing"] == 6 for r in got.values())
+    assert sorted(got[i].quality.n_removed_lines for i in (1, 2)) == [0, 6] and got[3].quality.clean_text is None
+
+
+def test_quality_of_one_very_long_text(spark):
+    text = " ".join(f"w{i % 70_000}" for i in range(210_000))
+    got = Q.quality_rules(rows(spark, [(1, text, None, None)])).first().quality
+    assert got.n_words == 210_000 and got.n_repeat_words == 210_000 and got.clean_text == text
+
+
 def brute_boundaries(hist, k):
     import itertools
 
