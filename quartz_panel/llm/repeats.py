@@ -6,10 +6,13 @@ what the place stands for), ``content`` (hash of all that the row's windows span
 last window.  Rows whose key is alone are done.  Of the others
 
 * rows with equal content are equal window by window, so one row decides for all of its windows;
-* one row of each different content under a key goes on to single windows, compared by 128-bit hashes.
+* one row of each different content under a key goes on to single windows, compared by 128 bits of two
+  independent hashes.
 
-The rows of a key are at most one for each sampled place, a small share of the input, and are read in
-order by Spark's external sort; nothing is gathered in the driver.
+Hot keys.  Rows are combined before they are shuffled: of equal rows of one chunk of texts the first
+stands for all, the others are decided there and then and are dealt at random.  A key with many
+different contents in one chunk is mixed for certain: its rows are dealt by key and content, one marker
+row tells the other rows of the key, and all of them go on to single windows.
 """
 
 from __future__ import annotations
@@ -18,15 +21,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import broadcast_if_below, written
+from .store import Scratch
+from .textops import mix, signed
 
 #: place: first window << SPAN_BITS | windows after it; one number, as these rows are the bulk of what is shuffled
 SPAN_BITS = 20
-ANCHOR_SCHEMA = "key long, content long, doc_id long, place long"
-WINDOW_SCHEMA = "h1 long, h2 long, doc_id long, first long"
+ANCHOR_SCHEMA = "key long, content long, doc_id long, place long, state byte"
+WINDOW_SCHEMA = "h1 long, h2 long, doc_id long, first long, state byte"
+#: bits of ``state``: an equal row of the chunk comes before this one; equal rows of the chunk come after it; a marker; dealt by key and content
+AGAIN, TWICE, MARK, APART = 1, 2, 4, 8
+#: different contents of a key in one chunk beyond which its rows are dealt by key and content
+MANY = 16
 RANGES = "ranges array<struct<first:long,last:long>>"
 RANGE_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
@@ -55,34 +63,45 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, RANGE_TYPE)], names=["doc_id", "ranges"])
 
 
-def by_document(rows: DataFrame, name: str, most_broadcast_bytes: int) -> DataFrame:
-    """doc_id, ranges (merged): a written table, broadcast when it is small."""
+def by_document(rows: DataFrame, name: str, most_broadcast_bytes: int, scratch: Scratch) -> DataFrame:
+    """doc_id, ranges (merged): a written table."""
     grouped = rows.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).mapInArrow(_merged, f"doc_id long, {RANGES}")
-    table = written(grouped, name)
-    size = table.agg(F.sum(64 + 16 * F.size("ranges"))).first()[0] or 0
-    return F.broadcast(table) if size <= most_broadcast_bytes else table
+    return scratch.written(grouped, name)
 
 
-def _decided(rows: DataFrame, keep_first: bool, name: str) -> DataFrame:
+def _small(ranges: DataFrame, most_broadcast_bytes: int) -> bool:
+    return (ranges.agg(F.sum(64 + 16 * F.size("ranges"))).first()[0] or 0) <= most_broadcast_bytes
+
+
+def _has(bit: int) -> Column:
+    return F.col("state").bitwiseAND(F.lit(bit).cast("byte")) != 0
+
+
+def _decided(rows: DataFrame, keep_first: bool, name: str, scratch: Scratch) -> DataFrame:
     """doc_id, first, last, sure, open of rows whose key isn't alone: a written table."""
     alike, key = Window.partitionBy("key", "content"), Window.partitionBy("key")
-    here = F.struct("doc_id", "place")
+    here = F.when(~_has(MARK), F.struct("doc_id", "place"))
+    content = F.when(~_has(MARK), F.col("content"))
     rows = rows.withColumn("lo", F.min(here).over(alike)).withColumn("hi", F.max(here).over(alike))
-    rows = rows.withColumn("mixed", F.min("content").over(key) != F.max("content").over(key))
-    again, opening = F.col("lo") != F.col("hi"), F.col("lo") == here
+    rows = rows.withColumn("several", F.max(_has(TWICE)).over(alike))
+    rows = rows.withColumn("mixed", (F.min(content).over(key) != F.max(content).over(key)) | F.max(_has(MARK) | _has(APART)).over(key))
+    again, opening = (F.col("lo") != F.col("hi")) | F.col("several"), F.col("lo") == here
     first = F.shiftright("place", SPAN_BITS)
     last = first + F.col("place").bitwiseAND(F.lit((1 << SPAN_BITS) - 1))
-    rows = rows.select("doc_id", "place", (~opening if keep_first else again).alias("sure"), (opening & F.col("mixed")).alias("open"))
-    return written(rows.filter("sure or open").select("doc_id", first.alias("first"), last.alias("last"), "sure", "open"), name)
+    sure = _has(AGAIN) | (~opening if keep_first else again)
+    rows = rows.select("doc_id", "place", "state", sure.alias("sure"), (opening & F.col("mixed") & ~_has(AGAIN)).alias("open"))
+    return scratch.written(rows.filter(~_has(MARK)).filter("sure or open").select("doc_id", first.alias("first"), last.alias("last"), "sure", "open"), name)
 
 
 def with_ranges(texts: DataFrame, ranges: DataFrame, most_broadcast_bytes: int, inner: bool = False) -> DataFrame:
     """``texts`` with the ranges of their doc_id.  If the ids with ranges are few enough to be sent, other texts aren't shuffled."""
-    ids = ranges.select("doc_id")
+    if _small(ranges, most_broadcast_bytes):
+        return texts.join(F.broadcast(ranges), "doc_id", "inner" if inner else "left")
     if ranges.count() * 16 > most_broadcast_bytes:
         return texts.join(ranges, "doc_id", "inner" if inner else "left")
-    hit = texts.join(F.broadcast(ids), "doc_id", "left_semi").join(ranges, "doc_id")
-    return hit if inner else hit.unionByName(texts.join(F.broadcast(ids), "doc_id", "left_anti").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType)))
+    ids = F.broadcast(ranges.select("doc_id"))
+    hit = texts.join(ids, "doc_id", "left_semi").join(ranges, "doc_id")
+    return hit if inner else hit.unionByName(texts.join(ids, "doc_id", "left_anti").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType)))
 
 
 def repeated_windows(docs: DataFrame, anchors: Callable, windows: Callable, keep_first: bool, most_broadcast_bytes: int, blocks: Callable | None = None) -> DataFrame:
@@ -90,25 +109,83 @@ def repeated_windows(docs: DataFrame, anchors: Callable, windows: Callable, keep
     (smaller doc_id, or the same and an earlier start).  Rows that repeat a doc_id count once.
 
     ``blocks`` splits open rows into blocks of windows, decided in the same way before single windows are."""
+    scratch = Scratch(docs.sparkSession)
     texts = docs.filter("doc_id is not null").select("doc_id", "text")
-    rows = _decided(texts.mapInArrow(anchors, ANCHOR_SCHEMA), keep_first, "repeats")
-    sure = rows.filter("sure").select("doc_id", "first", "last")
-    todo = by_document(rows.filter("open"), "open", most_broadcast_bytes)
+    rows = _decided(texts.mapInArrow(anchors, ANCHOR_SCHEMA), keep_first, "repeats", scratch)
+    tables, sure = [rows], rows.filter("sure").select("doc_id", "first", "last")
+    todo = by_document(rows.filter("open"), "open", most_broadcast_bytes, scratch)
     if blocks:
-        rows = _decided(with_ranges(texts, todo, most_broadcast_bytes, True).select("doc_id", "text", "ranges").mapInArrow(blocks, ANCHOR_SCHEMA), keep_first, "blocks")
+        cut = with_ranges(texts, todo, most_broadcast_bytes, True).select("doc_id", "text", "ranges").mapInArrow(blocks, ANCHOR_SCHEMA)
+        rows = _decided(cut, keep_first, "blocks", scratch)
+        scratch.drop(todo)
+        tables.append(rows)
         sure = sure.union(rows.filter("sure").select("doc_id", "first", "last"))
-        todo = by_document(rows.filter("open"), "open", most_broadcast_bytes)
+        todo = by_document(rows.filter("open"), "open", most_broadcast_bytes, scratch)
     single = with_ranges(texts, todo, most_broadcast_bytes, True).select("doc_id", "text", "ranges").mapInArrow(windows, WINDOW_SCHEMA)
     here = F.struct("doc_id", "first")
     equal = Window.partitionBy("h1", "h2")
-    single = single.withColumn("lo", F.min(here).over(equal)).withColumn("hi", F.max(here).over(equal))
-    found = single.filter(here != F.col("lo") if keep_first else F.col("lo") != F.col("hi")).select("doc_id", "first", F.col("first").alias("last"))
-    return by_document(sure.union(found), "repeated", most_broadcast_bytes)
-
-
-def rows_of(batch: pa.RecordBatch, row: np.ndarray, key, content, first, last) -> pa.RecordBatch:
-    ids = batch.column(0).take(pa.array(row))
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), ids, pa.array(first << SPAN_BITS | last - first)], names=["key", "content", "doc_id", "place"])
+    single = single.withColumn("lo", F.min(here).over(equal)).withColumn("hi", F.max(here).over(equal)).withColumn("several", F.max(_has(TWICE)).over(equal))
+    gone = here != F.col("lo") if keep_first else (F.col("lo") != F.col("hi")) | F.col("several")
+    found = single.filter(_has(AGAIN) | gone).select("doc_id", "first", F.col("first").alias("last"))
+    out = by_document(sure.union(found), "repeated", most_broadcast_bytes, scratch)
+    scratch.drop(todo, *tables)
+    return out
+
+
+def _combined(name: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The state of each row of a chunk, and its name: rows of equal names but the first (by doc, at) are told so and get names of their own.
+    Rows of one place, which a repeated document gives, stay as they are."""
+    state = np.zeros(len(name), np.int8)
+    by_name = np.argsort(name, kind="stable")
+    same = name[by_name[1:]] == name[by_name[:-1]]
+    if not same.any():
+        return state, name
+    rows = by_name[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    rows = rows[np.lexsort((at[rows], doc[rows], name[rows]))]
+    head = np.flatnonzero(np.concatenate([[True], name[rows[1:]] != name[rows[:-1]]]))
+    first = np.repeat(rows[head], np.diff(np.append(head, len(rows))))
+    other = (doc[rows] != doc[first]) | (at[rows] != at[first])
+    state[rows[other]] |= AGAIN
+    state[first[other]] |= TWICE
+    name = name.copy()
+    name[rows[other]] = mix(mix(doc[rows[other]].astype(np.uint64), 31) + at[rows[other]].astype(np.uint64), 32)
+    return state, name
+
+
+def rows_of(batch: pa.RecordBatch, row: np.ndarray, key: np.ndarray, content: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """Anchor rows of a chunk: equal ones combined, keys of many contents dealt apart.  key, content: unsigned."""
+    doc = batch.column(0).to_numpy()[row]
+    place = first << SPAN_BITS | last - first
+    both = mix(mix(key, 33) + content, 34)
+    state, name = _combined(both, doc, place)
+    again = state & AGAIN != 0
+    key = np.where(again, name, key)
+    own = np.flatnonzero(~again)
+    own = own[np.argsort(key[own], kind="stable")]
+    head = np.flatnonzero(np.concatenate([[True], key[own[1:]] != key[own[:-1]]])) if len(own) else own
+    many = np.diff(np.append(head, len(own))) > MANY
+    marks = key[own[head[many]]]
+    apart = own[np.repeat(many, np.diff(np.append(head, len(own))))]
+    key[apart] = both[apart]
+    state[apart] |= APART
+    n = len(marks)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(signed(np.concatenate([key, marks]))),
+            pa.array(signed(np.concatenate([content, np.zeros(n, np.uint64)]))),
+            pa.array(np.concatenate([doc, np.zeros(n, np.int64)])),
+            pa.array(np.concatenate([place, np.zeros(n, np.int64)])),
+            pa.array(np.concatenate([state, np.full(n, MARK, np.int8)])),
+        ],
+        names=["key", "content", "doc_id", "place", "state"],
+    )
+
+
+def window_rows(doc: np.ndarray, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> pa.RecordBatch:
+    """Rows of single windows of a chunk, equal ones combined."""
+    state, name = _combined(mix(mix(h1, 35) + h2, 36), doc, at)
+    h1 = np.where(state & AGAIN != 0, name, h1)
+    return pa.RecordBatch.from_arrays([pa.array(signed(h1)), pa.array(signed(h2)), pa.array(doc), pa.array(at), pa.array(state)], names=["h1", "h2", "doc_id", "first", "state"])
 
 
 def covered(ranges, window: int, size: int, also: np.ndarray | None = None) -> np.ndarray:

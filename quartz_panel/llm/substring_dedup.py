@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .repeats import RANGES, covered, pieces, repeated_windows, rows_of
-from .textops import Rolling, mix, signed, text_chunks, word_hashes, words
+from .repeats import RANGES, covered, pieces, repeated_windows, rows_of, window_rows, with_ranges
+from .textops import Rolling, mix, text_chunks, word_hashes, words
 
 FAR = np.int64(1) << 40
 
@@ -108,7 +109,7 @@ def _rows(batch, row, h, first, shift, window, rounds) -> Iterator[pa.RecordBatc
     cut = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(at) != 1)]))
     last = np.append(cut[1:], len(at)) - 1
     base = first[doc[cut]]
-    yield rows_of(batch, row + doc[cut], signed(key[cut]), signed(rolling.spans(at[cut], at[last] + window, 2)), at[cut] - base + shift, at[last] - base + shift)
+    yield rows_of(batch, row + doc[cut], key[cut], rolling.spans(at[cut], at[last] + window, 2), at[cut] - base + shift, at[last] - base + shift)
 
 
 def _whole(first: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -122,16 +123,15 @@ def _whole(first: np.ndarray, n: int, window: int) -> np.ndarray:
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        todo = batch.column(2)
+        todo, ids = batch.column(2), batch.column(0).to_numpy()
         for lo, hi, data, offsets in text_chunks(batch):
             starts, ends, first = words(data, offsets)
-            h = word_hashes(data, starts, ends)
-            one, two = Rolling(h), Rolling(mix(h, 77))
-            for i in range(lo, hi):
-                base = first[i - lo]
-                at = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in todo[i].as_py()]) + base
-                ids = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(one.spans(at, at + window, 5))), pa.array(signed(two.spans(at, at + window, 6))), ids, pa.array(at - base)], names=["h1", "h2", "doc_id", "first"])
+            one, two = Rolling(word_hashes(data, starts, ends)), Rolling(word_hashes(data, starts, ends, 1))
+            each = [np.concatenate([np.arange(r["first"], r["last"] + 1) for r in todo[i].as_py()]) for i in range(lo, hi)]
+            doc = np.repeat(np.arange(hi - lo), [len(x) for x in each])
+            within = np.concatenate(each)
+            at = within + first[doc]
+            yield window_rows(ids[lo + doc], within, one.spans(at, at + window, 5), two.spans(at, at + window, 6))
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int, as_is: bool) -> Iterator[pa.RecordBatch]:
@@ -172,19 +172,19 @@ def removed_windows(docs: DataFrame, window: int = 20, rounds: int = 6, most_bro
 
 def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 6, most_broadcast_bytes: int = 8 << 20, as_is: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, removed (ranges of words), kept_text (kept words joined by a space),
-    carried (a struct of the other columns of ``docs``).
+    carried (a struct of the other columns of ``docs``, whatever their names; absent if there are none).
 
     A word goes if a window of ``window`` consecutive words of its document covers it whose words also
     start earlier: in a smaller doc_id, or in the same document.  Windows are judged on the input.  With
     ``as_is`` a text that loses nothing is kept with its own white space.  A null or empty text has no
-    words and an empty kept_text.  Rows that repeat a doc_id get equal results, as one document; a row
+    words and an empty kept_text.  Texts of any length are taken whole; anchors of long ones are found in parts.  Rows that repeat a doc_id get equal results, as one document; a row
     with a null doc_id is only compared with itself word by word (its runs of one word go).  An empty
     table gives an empty result.
     """
     ranges = removed_windows(docs, window, rounds, most_broadcast_bytes)
-    others = F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))
-    rows = docs.select("doc_id", "text", others.alias("carried")).join(ranges, "doc_id", "left").select("doc_id", "text", "ranges", "carried")
-    schema = f"doc_id long, n_words long, n_removed long, {RANGES.replace('ranges', 'removed')}, kept_text string, carried {rows.schema['carried'].dataType.simpleString()}"
-    return rows.mapInArrow(lambda b: _kept(b, window, as_is), schema).withColumn("carried", F.col("carried").dropFields("__none")) if len(docs.columns) > 2 else rows.mapInArrow(
-        lambda b: _kept(b, window, as_is), schema
-    )
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(*(others or [F.lit(0).alias("none")])).alias("carried"))
+    rows = with_ranges(rows, ranges, most_broadcast_bytes).select("doc_id", "text", "ranges", "carried")
+    schema = T.StructType([*T._parse_datatype_string(f"doc_id long, n_words long, n_removed long, {RANGES.replace('ranges', 'removed')}, kept_text string").fields, T.StructField("carried", rows.schema["carried"].dataType)])
+    out = rows.mapInArrow(lambda b: _kept(b, window, as_is), schema)
+    return out if others else out.drop("carried")

@@ -16,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import RANGES, covered, pieces, repeated_windows, rows_of, with_ranges
+from .repeats import RANGES, covered, pieces, repeated_windows, rows_of, window_rows, with_ranges
 from .substring_dedup import _whole
-from .textops import Rolling, byte_values, mix, signed, text_chunks
+from .textops import Rolling, byte_values, mix, text_chunks
 
 MOST = 1 << 20
 
@@ -65,7 +65,7 @@ def _rows(batch, row, data, first, shift, window, gram) -> Iterator[pa.RecordBat
     last = np.append(cut[1:], len(at)) - 1
     doc = np.searchsorted(first, at[cut], "right") - 1
     yield rows_of(
-        batch, row + doc, signed(mix(named[sample[cut]], 9)), signed(rolling.spans(at[cut], at[last] + window, 2)), at[cut] - first[doc] + shift, at[last] - first[doc] + shift
+        batch, row + doc, mix(named[sample[cut]], 9), rolling.spans(at[cut], at[last] + window, 2), at[cut] - first[doc] + shift, at[last] - first[doc] + shift
     )
 
 
@@ -100,20 +100,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int, block: in
                     last = np.append(cut[1:], len(at)) - 1
                     q, k = sample[cut], k[cut]
                     core = rolling.spans(q - k * block, q - np.minimum(k * block + block - 1, window - gram) + window, 7)
-                    yield rows_of(batch, np.full(len(cut), i), signed(mix(core + k.astype(np.uint64), 8)), signed(rolling.spans(at[cut], at[last] + window, 2)), at[cut] + a, at[last] + a)
+                    yield rows_of(batch, np.full(len(cut), i), mix(core + k.astype(np.uint64), 8), rolling.spans(at[cut], at[last] + window, 2), at[cut] + a, at[last] + a)
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        todo = batch.column(2)
+        todo, ids = batch.column(2), batch.column(0).to_numpy()
         for lo, hi, data, offsets in text_chunks(batch, most_bytes=MOST):
             values = byte_values(data)
             one, two = Rolling(values), Rolling(mix(values, 77))
-            for i in range(lo, hi):
-                base = offsets[i - lo]
-                at = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in todo[i].as_py()]) + base
-                ids = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(one.spans(at, at + window, 5))), pa.array(signed(two.spans(at, at + window, 6))), ids, pa.array(at - base)], names=["h1", "h2", "doc_id", "first"])
+            each = [np.concatenate([np.arange(r["first"], r["last"] + 1) for r in todo[i].as_py()]) for i in range(lo, hi)]
+            doc = np.repeat(np.arange(hi - lo), [len(x) for x in each])
+            within = np.concatenate(each)
+            at = within + offsets[doc]
+            yield window_rows(ids[lo + doc], within, one.spans(at, at + window, 5), two.spans(at, at + window, 6))
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:

@@ -95,21 +95,21 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, after, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: int = 64) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, long: int = 64) -> np.ndarray:
     """A hash of each word: its 8-byte lanes are mixed in one after another; words over ``long`` bytes go through BLAKE2b."""
     lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
     left = ends - starts
-    h, at, todo = mix(left.astype(np.uint64), 13), starts, slice(None)
+    h, at, todo = mix(left.astype(np.uint64), 13 + 50 * seed), starts, slice(None)
     for _ in range(0, long, 8):
         value = lanes[at] & _LANE_MASKS[np.minimum(left, 8)]
-        h[todo] = mix(h[todo] ^ value, 17)
+        h[todo] = mix(h[todo] ^ value, 17 + 50 * seed)
         more = np.flatnonzero(left > 8)
         if not len(more):
             break
         at, left = at[more] + 8, left[more] - 8
         todo = more if isinstance(todo, slice) else todo[more]
     for i in np.flatnonzero(ends - starts > long).tolist():
-        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([seed])).digest(), "little")
     return h
 
 

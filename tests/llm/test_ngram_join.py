@@ -69,6 +69,50 @@ def test_repeats_nulls_and_empty(spark):
     assert J.ngram_jaccard_join(df.limit(0)).count() == 0
 
 
+def test_words_are_told_apart(spark):
+    from .test_repeats import adversarial
+
+    x, y = adversarial()
+    df = spark.createDataFrame([(1, f"{x} x y"), (2, f"{y} x y"), (3, f"{x} X  y")], "doc_id long, text string")
+    assert {tuple(r) for r in J.ngram_jaccard_join(df).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
+    tail = " ".join(f"w{i}" for i in range(40)).encode()
+    assert not J.linked(b"a b " + tail[:60], b"c d " + tail[60:], J.Setting()) and J.linked(b"A " + tail, b"b " + tail, J.Setting())
+
+
+def test_rows_that_share_an_id_count_as_one_document(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, long), (1, "x y z"), (2, long), (3, "x  Y z")], "doc_id long, text string")
+    got = {tuple(r) for r in J.ngram_jaccard_join(df).collect()}
+    assert got in ({(1, 38, 1), (2, 38, 1), (3, 1, 3)}, {(1, 1, 1), (3, 1, 1), (2, 38, 2)})
+
+
+def test_production_setting_indexes_combinations(spark):
+    """Near copies of one text in more documents than a token may have: all their tokens are frequent."""
+    rng = random.Random(5)
+    data = []
+    for base in range(2):
+        w = [f"b{base}w{i}" for i in range((400, 20)[base])]
+        for i in range(80):
+            v = list(w)
+            for _ in range((8, 1)[base] if i else 0):
+                v[rng.randrange(len(v))] = f"e{rng.randrange(10**6)}"
+            data.append((1000 * base + i, " ".join(v)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    held, index = [], J.indexed
+    J.indexed = lambda *a: held.append(index(*a).groupBy("short").agg(F.sum((F.col("combined") > 0).cast("int"))).collect()) or index(*a)
+    try:
+        got = {tuple(r) for r in J.ngram_jaccard_join(df).collect()}
+    finally:
+        J.indexed = index
+    assert held[0][0][1] > 80 and got == brute(data)
+
+
+def test_one_very_long_text(spark):
+    words = [f"w{i % 7919}" for i in range(60_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-50], *["end"] * 50])), (3, "w1 w2 w3")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in J.ngram_jaccard_join(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_components(spark):
     rng = random.Random(9)
     chain = [(i, i + 1) for i in range(100)] + [(1000, rng.randint(1001, 1400)) for _ in range(60)] + [(500, 500)]

@@ -109,6 +109,39 @@ def test_repeated_rows_and_empty(spark):
     assert R.substring_dedup(df.limit(0)).count() == 0 and S.suffix_dedup(df.limit(0)).count() == 0
 
 
+def adversarial():
+    """Words of 1024 letters that a polynomial modulo 2**64 can't tell apart, whatever its base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_are_told_apart(spark):
+    x, y = adversarial()
+    tail = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, f"{y} {tail}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in R.substring_dedup(df).collect()} == {1: 0, 2: 0, 3: 20}
+
+
+@pytest.mark.parametrize("n", [60, 300])
+def test_hot_passages_of_many_surroundings(spark, n):
+    """One passage in every document between words of its own: more contents under a key than are dealt together."""
+    rng = random.Random(n)
+    passage = [f"p{i}" for i in range(30)]
+    data = [(i, [f"u{rng.randrange(10**6)}" for _ in range(rng.randint(0, 9))] + passage + [f"v{rng.randrange(10**6)}" for _ in range(rng.randint(0, 9))]) for i in range(n)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in data], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text.split()) for r in R.substring_dedup(df, 20).collect()}
+    assert got == brute_first(data, 20)
+    got = {r.doc_id: (r.n_bytes, sum(x["last"] - x["first"] + 1 for x in r.removed), len(r.removed), bytes(r.kept)) for r in S.suffix_dedup(df, 60, 15).collect()}
+    assert got == brute_all([(d, " ".join(w).encode()) for d, w in data], 60)
+
+
+def test_columns_of_any_name_are_carried(spark):
+    df = spark.createDataFrame([(1, "a b", 7, 8, 9)], ["doc_id", "text", "__none", "carried", "ranges"])
+    got = R.substring_dedup(df).first().carried
+    assert (got["__none"], got["carried"], got["ranges"]) == (7, 8, 9)
+    assert "carried" not in R.substring_dedup(df.select("doc_id", "text")).columns
+
+
 def test_queries_on_given_documents(spark):
     d = "/root/testdata/sf0.001"
     data = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
