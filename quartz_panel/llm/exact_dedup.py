@@ -67,7 +67,7 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", digest=sha256_digest, mo
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty.  ``keep`` is
     "largest" or "smallest" doc_id of a group.  Rows repeated with the same doc_id can't be told
-    apart: each carries the group's result.  A null doc_id is kept only where its whole group has
+    apart: each carries the group's result, and ``deduplicated`` keeps one of them.  A null doc_id is kept only where its whole group has
     none.  An empty table gives an empty result; columns other than doc_id and text are ignored.
     """
     spark = docs.sparkSession
@@ -98,7 +98,14 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", digest=sha256_digest, mo
 
 
 def deduplicated(docs: DataFrame, keep: str = "largest", most_broadcast_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = written(exact_dedup(docs, keep).filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest")).distinct(), "digest-gone")
-    gone = broadcast_if_below(gone, 96, most_broadcast_bytes)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]) & (sha256_digest(normalised(docs["text"])) == gone["__digest"]), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat a doc_id and an equal text one stays."""
+    spark = docs.sparkSession
+    judged = written(exact_dedup(docs, keep).filter("group_size > 1").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest"), "kept"), "digest-judged")
+    gone = judged.filter("not kept").select("__gone", "__digest").distinct()
+    same = lambda t: docs["doc_id"].eqNullSafe(t["__gone"]) & (sha256_digest(normalised(docs["text"])) == t["__digest"])
+    twice = written(judged.filter("kept").groupBy("__gone", "__digest").count().filter("count > 1").select("__gone", "__digest"), "digest-twice")
+    if twice.isEmpty():
+        return docs.join(broadcast_if_below(gone, 96, most_broadcast_bytes), same(gone), "left_anti")
+    once = docs.join(gone.union(twice), same(gone), "left_anti")
+    again = docs.join(twice, same(twice), "left_semi").withColumn("__norm", normalised(F.col("text")))
+    return once.unionByName(again.dropDuplicates(["doc_id", "__norm"]).select(*once.columns))

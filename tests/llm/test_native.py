@@ -31,6 +31,9 @@ def test_smallest_and_deduplicated(spark):
     for n in (0, 8 << 20):
         assert X.deduplicated(rows(spark), most_broadcast_bytes=n).count() == kept.count()
     assert X.exact_dedup(rows(spark, [])).count() == 0
+    assert [r.doc_id for r in X.deduplicated(rows(spark)).collect()].count(8) == 1
+    again = X.deduplicated(rows(spark, [(1, "t", "a", "h"), (1, "T", "b", "h"), (None, "u", "a", "h"), (None, "u", "a", "h"), (2, "v", "a", "h")]))
+    assert sorted((r.doc_id, r.text.lower()) for r in again.filter("doc_id is not null").collect()) == [(1, "t"), (2, "v")] and again.count() == 3
 
 
 def test_index_runs_merge_and_answer(spark, tmp_path):

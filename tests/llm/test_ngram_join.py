@@ -14,8 +14,8 @@ def shingles(text, n=3):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
-def brute(data, percent=90):
-    sets = [shingles(t) for _, t in data]
+def brute(data, percent=90, n=3):
+    sets = [shingles(t, n) for _, t in data]
     parent = list(range(len(data)))
 
     def find(i):

@@ -32,7 +32,7 @@ def brute(docs):
     for d, t in sorted(kept.items()):
         last[lower(t)] = d
     kept = {d: kept[d] for d in last.values()}
-    kept = {d: kept[d] for d, _, c in near_brute(sorted(kept.items())) if c == d}
+    kept = {d: kept[d] for d, _, c in near_brute(sorted(kept.items()), 80, 5) if c == d}
     left = brute_first([(d, re.findall(WORD, t)) for d, t in kept.items()], 20)
     sizes = {d: n - m for d, (n, m, _) in left.items() if m < n or not m}
     pieces = [(d, k, min(2048, n - 2048 * k)) for d, n in sizes.items() for k in range(max(1, -(-n // 2048)))]
@@ -57,3 +57,13 @@ def test_stages_keep_the_columns_and_take_effect(spark):
         assert stage(spark, odd, "").columns == docs.columns, name
         assert stage(spark, docs.limit(0), "").count() == 0
         stage(spark, odd, "").collect()
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """A quality column, and two rows that are one document twice, go through all stages."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(80)), "en", "h", 400, i) for i in (1, 2, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality int")
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns[-1] == "quality", name
+    assert sorted((r.doc_id, r.quality) for r in docs.collect()) == [(1, 1), (2, 2)]
