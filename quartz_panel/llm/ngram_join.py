@@ -38,7 +38,7 @@ from .components import connected_components
 from .store import Scratch, broadcast_if_below
 from .textops import LOWER, mix, signed, text_chunks, word_hashes, words
 
-#: longs of the sketch that goes along with every key of an open block; pairs of larger sets are tried again by their whole sketches
+#: longs of the folded sketch that goes along with every key of an open block; what passes it is tried by the whole sketches
 NARROW = 8
 #: documents of a block in which one order of neighbours is tried by one task
 SUB_BLOCK = 500
@@ -99,20 +99,15 @@ def token_sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, bytes
                 yield i, joined, np.zeros(0, np.uint64)
 
 
-def parity_sketch(tokens: np.ndarray) -> np.ndarray:
-    """64 * 2**k bits, half the tokens at least; each token flips one.  Two sketches differ in no more bits than the sets in tokens."""
-    words_ = 1 << max(0, int(np.ceil(np.log2(max(1, len(tokens)) / 128))))
+def parity_sketch(tokens: np.ndarray, s: Setting) -> np.ndarray:
+    """64 * 2**k bits, NARROW longs at least and eight bits for each token that similar sets may differ in; each token flips one.
+    Two sketches differ in no more bits than the sets in tokens."""
+    words_ = max(NARROW, 1 << max(0, (8 * s.difference(2 * len(tokens)) - 1) // 64).bit_length())
     bit = (mix(tokens, 4) & np.uint64(64 * words_ - 1)).astype(np.int64)
     odd = np.bincount(bit, minlength=64 * words_) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def folded(sketch: np.ndarray, most: int) -> np.ndarray:
-    while len(sketch) > most:
-        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
-    return sketch
-
-
 def _lists(of: list[np.ndarray | None]) -> pa.Array:
     size = np.array([0 if x is None else len(x) for x in of], np.int64)
     offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), mask=np.array([*(x is None for x in of), False]))
@@ -135,7 +130,7 @@ def _sets(batches: Iterator[pa.RecordBatch], s: Setting) -> Iterator[pa.RecordBa
 
         for row, joined, tokens in token_sets(batch, s.shingle):
             cut = int(np.searchsorted(tokens, end))
-            rows.append(row), n.append(len(tokens)), sketches.append(parity_sketch(tokens))
+            rows.append(row), n.append(len(tokens)), sketches.append(parity_sketch(tokens, s))
             digests.append(hashlib.blake2b(joined, digest_size=16).digest() if len(tokens) else None)
             zone.append(tokens[:cut]), rest.append(tokens[cut:] if len(tokens) <= s.whole else None)
             held += len(tokens)
@@ -409,13 +404,13 @@ class _Join:
     def remaining(self, blocks: DataFrame) -> DataFrame:
         """Links among all pairs of different components that still meet in a block."""
         s, c = self.s, F.col
-        cut = lambda i: F.get("sketch", i)
-        # whole sketches of small sets; of larger ones the sketch is folded to NARROW longs
-        fold = F.transform(F.sequence(F.lit(0), F.lit(NARROW - 1)), lambda i: F.aggregate(F.sequence(i, F.size("sketch") - 1, F.lit(NARROW)), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(cut(k))))
-        sketches = self.sketches.select("doc_id", "n", F.when(F.size("sketch") > NARROW, fold).otherwise(c("sketch")).alias("sketch"))
+        fold = lambda i: F.aggregate(F.sequence(F.lit(i), F.size("sketch") - 1, F.lit(NARROW)), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.get("sketch", k)))
+        sketches = self.sketches.select("doc_id", "n", *(F.when(F.size("sketch") > NARROW, fold(i)).otherwise(F.get("sketch", F.lit(i))).alias(f"s{i}") for i in range(NARROW)))
         rows = self.scratch.written(blocks.select("key", "doc_id", "part").join(sketches, "doc_id"), "open-sketches")
-        x, y = (rows.select("key", *(c(v).alias(f"{v}_{k}") for v in ("doc_id", "part", "n", "sketch"))) for k in "ab")
-        near = _may_link(c("n_a"), c("sketch_a"), c("n_b"), c("sketch_b"), s)
+        x, y = (rows.select("key", *(c(v).alias(f"{v}_{k}") for v in rows.columns if v != "key")) for k in "ab")
+        fits = 100 * F.least("n_a", "n_b") >= s.percent * F.greatest("n_a", "n_b")
+        differ = sum((F.bit_count(c(f"s{i}_a").bitwiseXOR(c(f"s{i}_b"))) for i in range(NARROW)), F.lit(0))
+        near = fits & (differ * (100 + s.percent) <= (c("n_a") + c("n_b")) * (100 - s.percent))
         tried = x.join(y, (x["key"] == y["key"]) & (c("doc_id_a") < c("doc_id_b")) & (c("part_a") != c("part_b")) & near)
         out = self.linking(self.scratch.written(tried.select(c("doc_id_a").alias("a"), c("doc_id_b").alias("b")).distinct(), "tried"))
         self.scratch.drop(rows, blocks)

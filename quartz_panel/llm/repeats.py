@@ -79,17 +79,19 @@ def _has(bit: int) -> Column:
 
 def _decided(rows: DataFrame, keep_first: bool, name: str, scratch: Scratch) -> DataFrame:
     """doc_id, first, last, sure, open of rows whose key isn't alone: a written table."""
-    alike, key = Window.partitionBy("key", "content"), Window.partitionBy("key")
-    here = F.when(~_has(MARK), F.struct("doc_id", "place"))
-    content = F.when(~_has(MARK), F.col("content"))
-    rows = rows.withColumn("lo", F.min(here).over(alike)).withColumn("hi", F.max(here).over(alike))
-    rows = rows.withColumn("several", F.max(_has(TWICE)).over(alike))
-    rows = rows.withColumn("mixed", (F.min(content).over(key) != F.max(content).over(key)) | F.max(_has(MARK) | _has(APART)).over(key))
-    again, opening = (F.col("lo") != F.col("hi")) | F.col("several"), F.col("lo") == here
+    mark = _has(MARK)
+    rows = rows.select("key", "content", "doc_id", "place", "state", F.when(~mark, F.struct("doc_id", "place")).alias("here"), F.when(~mark, F.col("content")).alias("held"))
+    rows = rows.withColumns({"apart": mark | _has(APART), "twice": _has(TWICE)})
+    # the wider partitions come first, so that one shuffle and one sort serve both
+    key, alike = Window.partitionBy("key"), Window.partitionBy("key", "content")
+    rows = rows.withColumns({"low": F.min("held").over(key), "high": F.max("held").over(key), "split": F.max("apart").over(key)})
+    rows = rows.withColumns({"lo": F.min("here").over(alike), "hi": F.max("here").over(alike), "several": F.max("twice").over(alike)})
+    again, opening = (F.col("lo") != F.col("hi")) | F.col("several"), F.col("lo") == F.col("here")
+    mixed = (F.col("low") != F.col("high")) | F.col("split")
     first = F.shiftright("place", SPAN_BITS)
     last = first + F.col("place").bitwiseAND(F.lit((1 << SPAN_BITS) - 1))
     sure = _has(AGAIN) | (~opening if keep_first else again)
-    rows = rows.select("doc_id", "place", "state", sure.alias("sure"), (opening & F.col("mixed") & ~_has(AGAIN)).alias("open"))
+    rows = rows.select("doc_id", "place", "state", sure.alias("sure"), (opening & mixed & ~_has(AGAIN)).alias("open"))
     return scratch.written(rows.filter(~_has(MARK)).filter("sure or open").select("doc_id", first.alias("first"), last.alias("last"), "sure", "open"), name)
 
 
