@@ -339,6 +339,7 @@ class _Join:
         more = self.remaining(blocks)
         if not more.isEmpty():
             parts = connected_components(links.union(more), keep)
+        keep.drop(reps)
 
         of_class = classes.select("digest", c("doc_id").alias("node")).join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
         of_doc = self.nodes.join(of_class, "digest", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))

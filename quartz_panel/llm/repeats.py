@@ -80,6 +80,7 @@ def _has(bit: int) -> Column:
 def _decided(rows: DataFrame, keep_first: bool, name: str, scratch: Scratch) -> DataFrame:
     """doc_id, first, last, sure, open of rows whose key isn't alone: a written table."""
     mark = _has(MARK)
+    rows = rows.repartition("key")  # before the columns below are added, so that they aren't shuffled
     rows = rows.select("key", "content", "doc_id", "place", "state", F.when(~mark, F.struct("doc_id", "place")).alias("here"), F.when(~mark, F.col("content")).alias("held"))
     rows = rows.withColumns({"apart": mark | _has(APART), "twice": _has(TWICE)})
     # the wider partitions come first, so that one shuffle and one sort serve both
@@ -124,6 +125,7 @@ def repeated_windows(docs: DataFrame, anchors: Callable, windows: Callable, keep
         sure = sure.union(rows.filter("sure").select("doc_id", "first", "last"))
         todo = by_document(rows.filter("open"), "open", most_broadcast_bytes, scratch)
     single = with_ranges(texts, todo, most_broadcast_bytes, True).select("doc_id", "text", "ranges").mapInArrow(windows, WINDOW_SCHEMA)
+    single = single.repartition("h1", "h2")
     here = F.struct("doc_id", "first")
     equal = Window.partitionBy("h1", "h2")
     single = single.withColumn("lo", F.min(here).over(equal)).withColumn("hi", F.max(here).over(equal)).withColumn("several", F.max(_has(TWICE)).over(equal))

@@ -70,9 +70,9 @@ def symbols(names: np.ndarray, opens: np.ndarray, rounds: int) -> Iterator[tuple
         yield low, high
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], window: int, rounds: int, most: int = 300_000) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], window: int, rounds: int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, data, offsets in text_chunks(batch):
+        for lo, hi, data, offsets in text_chunks(batch, most_bytes=2 * most):  # a word takes two bytes at least, so only one long text alone is cut
             starts, ends, first = words(data, offsets)
             h = word_hashes(data, starts, ends)
             if len(h) <= most:
