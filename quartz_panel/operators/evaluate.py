@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quartz_panel.functions.scalar import safe_corr
 
@@ -95,13 +97,15 @@ def sector_ranks(df: DataFrame, score: str = "score", group: str = "sector") ->
 def ewma_rank(ranks: DataFrame, span: int, by: tuple[str, ...] = ("ticker_id",), value: str = "rank") -> DataFrame:
     """Adds smooth: exponential mean of a name's ranks over its dates, seeded with the first; gaps don't decay.
 
-    One ordered array for each name is folded, so states come out in one pass."""
+    A name's dates are sorted once and smoothed in one pass; a null rank leaves the state as it is."""
     alpha = 2 / (span + 1) if span > 0 else 1.0
-    rows = ranks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("date", F.col(value).cast("double").alias("v")))).alias("a"))
-    start = F.array().cast("array<struct<date:date,v:double,s:double>>")
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["date"].alias("date"), x["v"].alias("v"), F.when(F.size(acc) == 0, x["v"]).otherwise(alpha * x["v"] + (1 - alpha) * F.element_at(acc, -1)["s"]).alias("s"))))
-    safe = lambda acc, x: F.when(F.size(acc) == 0, F.array(F.struct(x["date"].alias("date"), x["v"].alias("v"), x["v"].alias("s")))).otherwise(step(acc, x))
-    return rows.select(*by, F.explode(F.aggregate("a", start, safe)).alias("x")).select(*by, "x.date", F.col("x.v").alias(value), F.col("x.s").alias("smooth"))
+
+    def smooth(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("date", kind="stable")
+        return frame.assign(smooth=frame[value].astype("float64").ewm(alpha=alpha, adjust=False, ignore_na=True).mean())
+
+    rows = ranks.select(*by, "date", F.col(value).cast("double").alias(value))
+    return rows.groupBy(*by).applyInPandas(smooth, T.StructType([*rows.schema.fields, T.StructField("smooth", T.DoubleType())]))
 
 
 def rank_turnover(ranks: DataFrame, value: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:

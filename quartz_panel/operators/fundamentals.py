@@ -33,23 +33,27 @@ def filing_ratios(filings: DataFrame) -> DataFrame:
 
 
 def ttm(filings: DataFrame, metrics: tuple[str, ...] = ("revenue", "net_income", "fcf")) -> DataFrame:
-    """Adds ttm_{metric}: four latest distinct quarters within 380 days, a 10-K's own year, else the latest year within 380 days, else 0.
+    """Adds ttm_{metric}: four latest distinct quarters within 380 days, a 10-K's latest year, else the latest year within 380 days, else 0.
 
-    Quarters are taken in the order filed; of a period filed twice the latest filing counts."""
+    Quarters and years are taken in the order filed; of a period filed twice the latest filing counts.  A metric's
+    null takes no place among them.  All filings up to the row's own are looked at."""
     run = by_filing().rowsBetween(Window.unboundedPreceding, 0)
-    item = F.struct("period_end", *metrics)
-    quarters = F.collect_list(F.when(F.col("filing_type") == "10-Q", item)).over(run)
-    years = F.collect_list(F.when(F.col("filing_type") == "10-K", item)).over(run)
-    df = filings.withColumn("__q", F.slice(F.reverse(quarters), 1, 12)).withColumn("__y", F.slice(F.reverse(years), 1, 12))
-    # first of each period from the latest on
-    fresh = F.filter("__q", lambda x, i: ~F.exists(F.slice("__q", F.lit(1), i), lambda y: y["period_end"] == x["period_end"]))
-    df = df.withColumn("__four", F.slice(fresh, 1, 4))
-    ok = (F.col("filing_type") == "10-Q") & (F.size("__four") == 4) & (F.datediff("period_end", F.element_at("__four", -1)["period_end"]) <= 380)
-    within = F.filter("__y", lambda y: F.abs(F.datediff(F.col("period_end"), y["period_end"])) <= 380)
+    df, kind = filings, F.col("filing_type")
     for m in metrics:
-        total = F.aggregate("__four", F.lit(0.0), lambda s, x: s + x[m])
-        df = df.withColumn(f"ttm_{m}", F.coalesce(F.when(F.col("filing_type") == "10-K", F.col(m)), F.when(ok, total), F.get(within, F.lit(0))[m], F.lit(0.0)))
-    return df.drop("__q", "__y", "__four")
+        item = F.struct(F.col("period_end").alias("p"), F.col(m).cast("double").alias("v"))
+        held = lambda t, m=m, item=item: F.reverse(F.collect_list(F.when((kind == t) & F.col(m).isNotNull(), item)).over(run))
+        df = df.withColumns({f"__q_{m}": held("10-Q"), f"__y_{m}": held("10-K")})
+    for m in metrics:
+        quarters, years = F.col(f"__q_{m}"), F.col(f"__y_{m}")
+        none = F.slice(quarters, 1, 0)
+        four = F.aggregate(quarters, none, lambda got, x: F.when((F.size(got) == 4) | F.exists(got, lambda y: y["p"] == x["p"]), got).otherwise(F.concat(got, F.array(x))))
+        df = df.withColumn("__four", four)
+        whole = (kind == "10-Q") & (F.size("__four") == 4) & (F.datediff("period_end", F.get("__four", F.lit(3))["p"]) <= 380)
+        total = F.aggregate("__four", F.lit(0.0), lambda s, x: s + x["v"])
+        within = F.filter(years, lambda y: F.abs(F.datediff(F.col("period_end"), y["p"])) <= 380)
+        own_year = F.when(kind == "10-K", F.get(years, F.lit(0))["v"])
+        df = df.withColumn(f"ttm_{m}", F.coalesce(own_year, F.when(whole, total), F.get(within, F.lit(0))["v"], F.lit(0.0)))
+    return df.drop("__four", *(f"__{k}_{m}" for k in "qy" for m in metrics))
 
 
 def margin_stability(filings: DataFrame, fields=("gross_margin", "operating_margin", "revenue_growth")) -> DataFrame:

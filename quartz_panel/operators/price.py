@@ -26,7 +26,8 @@ def bar_index(bars: DataFrame) -> DataFrame:
 
 
 def with_daily(bars: DataFrame) -> DataFrame:
-    """Adds daily, the log return from the bar before; null where a price is null or not positive."""
+    """Adds daily, the log return from the bar before; null where a price is null, NaN or not positive.  A NaN price becomes null."""
+    bars = bars.withColumn("adj_close", F.when(~F.isnan("adj_close"), F.col("adj_close")))
     prev = F.lag("adj_close").over(by_ticker())
     return bars.withColumn("daily", F.when((F.col("adj_close") > 0) & (prev > 0), F.ln(F.col("adj_close") / prev)))
 
@@ -59,10 +60,10 @@ def price_factors(bars: DataFrame, tickers: DataFrame, market: DataFrame | None
         {
             "n": m.isNotNull(), "x": s, "y": m, "xx": s * s, "yy": m * m, "xy": s * m,
             "k": d.isNotNull(), "d": d, "dd": d * d, "ddd": d * d * d, "ad": F.abs(d), "neg": F.when(d < 0, d * d),
-            "p": c("adj_close"), "v": c("volume"), "il": F.when((dv > 0) & d.isNotNull(), F.abs(d) / dv), "iln": (dv > 0) & d.isNotNull(),
+            "p": c("adj_close"), "pn": c("adj_close").isNotNull(), "v": c("volume"), "il": F.when((dv > 0) & d.isNotNull(), F.abs(d) / dv), "iln": (dv > 0) & d.isNotNull(),
         },
         [*((k, 251, 0) for k in ("n", "x", "y", "xx", "yy", "xy")), *((k, w, 0) for k in ("k", "d", "dd") for w in (20, 60, 120)), *((k, 120, 0) for k in ("ddd", "ad", "neg", "v")),
-         ("p", 50, 0), ("p", 200, 0), ("v", 20, 0), ("v", 60, 0), ("il", 60, 0), ("iln", 60, 0), ("y", 231, 21), ("y", 126, 0)],
+         ("p", 50, 0), ("p", 200, 0), ("pn", 50, 0), ("pn", 200, 0), ("v", 20, 0), ("v", 60, 0), ("il", 60, 0), ("iln", 60, 0), ("y", 231, 21), ("y", 126, 0)],
     )
     lag = lambda n: F.lag("adj_close", n).over(by_ticker())
     up = [F.when(lag(21 * (i - 1)) > 0, F.when(lag(21 * i) > 0, F.when(lag(21 * (i - 1)) > lag(21 * i), 1.0).otherwise(0.0))) if i > 1 else F.when((c("adj_close") > 0) & (lag(21) > 0), F.when(c("adj_close") > lag(21), 1.0).otherwise(0.0)) for i in range(1, 7)]
@@ -102,8 +103,8 @@ def price_factors(bars: DataFrame, tickers: DataFrame, market: DataFrame | None
         F.when(full, F.sqrt(F.greatest(c("__vx") - 2 * c("beta_252d") * c("__cov") + c("beta_252d") * c("beta_252d") * c("__vy"), F.lit(0.0)))).otherwise(c("vol_120d")).alias("idio_vol"),
         log_ratio("adj_close", "__high").alias("dist_high_252"),
         log_ratio("adj_close", "__low").alias("dist_low_252"),
-        log_ratio("adj_close", c("p_50_0") / 50).alias("ma_gap_50"),
-        log_ratio("adj_close", c("p_200_0") / 200).alias("ma_gap_200"),
+        log_ratio("adj_close", c("p_50_0") / F.nullif(c("pn_50_0"), F.lit(0.0))).alias("ma_gap_50"),
+        log_ratio("adj_close", c("p_200_0") / F.nullif(c("pn_200_0"), F.lit(0.0))).alias("ma_gap_200"),
         log_ratio(c("v_20_0") / 20, c("v_120_0") / 120).alias("vol_trend"),
         zero(F.when(some, third / (sd * sd * sd))).alias("ret_skew_120d"),
         zero(F.when(some, F.sqrt(F.greatest(c("neg_120_0"), F.lit(0.0)) / n) / sd)).alias("downside_vol_ratio_120d"),

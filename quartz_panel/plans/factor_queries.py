@@ -216,24 +216,35 @@ query("w20_revenue_growth", oracle("SELECT ticker_id, filed_at, accession_number
     lambda spark, d: rounded(U.revenue_growth(V.filings(spark, d)).select("ticker_id", "filed_at", "accession_number", "revenue_growth"))
 )
 
-TTM = (
-    "ttm",
-    """SELECT f.*, """
-    + ", ".join(
-        f"""CASE WHEN filing_type = '10-K' THEN {m} ELSE coalesce((SELECT CASE WHEN count(*) = 4 AND f.period_end - min(period_end) <= 380 THEN sum({m}) END FROM (SELECT period_end, {m} FROM filings q WHERE q.ticker_id = f.ticker_id AND q.filing_type = '10-Q'
-  AND (q.filed_at, q.accession_number) <= (f.filed_at, f.accession_number) ORDER BY q.filed_at DESC, q.accession_number DESC LIMIT 4)),
-  (SELECT {m} FROM filings k WHERE k.ticker_id = f.ticker_id AND k.filing_type = '10-K' AND (k.filed_at, k.accession_number) <= (f.filed_at, f.accession_number) AND abs(f.period_end - k.period_end) <= 380 ORDER BY k.filed_at DESC LIMIT 1), 0) END AS ttm_{m}"""
-        for m in ("revenue", "net_income", "fcf")
-    )
-    + " FROM filings f",
-)
+def _ttm_sql(source: str) -> str:
+    """Per metric: nulls take no place; of a period filed twice the latest filing counts."""
+    each = """CASE WHEN f.filing_type = '10-K' THEN
+  coalesce((SELECT k.{m} FROM {t} k WHERE k.ticker_id = f.ticker_id AND k.filing_type = '10-K' AND k.{m} IS NOT NULL AND (k.filed_at, k.accession_number) <= (f.filed_at, f.accession_number) ORDER BY k.filed_at DESC, k.accession_number DESC LIMIT 1), 0)
+ELSE coalesce((SELECT CASE WHEN count(*) = 4 AND f.period_end - arg_min(period_end, filed) <= 380 THEN sum(v) END FROM (SELECT period_end, max(filed_at) AS filed, arg_max({m}, (filed_at, accession_number)) AS v FROM {t} q WHERE q.ticker_id = f.ticker_id
+  AND q.filing_type = '10-Q' AND q.{m} IS NOT NULL AND (q.filed_at, q.accession_number) <= (f.filed_at, f.accession_number) GROUP BY period_end ORDER BY filed DESC LIMIT 4)),
+  (SELECT k.{m} FROM {t} k WHERE k.ticker_id = f.ticker_id AND k.filing_type = '10-K' AND k.{m} IS NOT NULL AND (k.filed_at, k.accession_number) <= (f.filed_at, f.accession_number) AND abs(f.period_end - k.period_end) <= 380 ORDER BY k.filed_at DESC, k.accession_number DESC LIMIT 1), 0) END AS ttm_{m}"""
+    return "SELECT f.*, " + ", ".join(each.format(m=m, t=source) for m in ("revenue", "net_income", "fcf")) + f" FROM {source} f"
+
 
+TTM = ("ttm", _ttm_sql("filings"))
+_TTM_OUT = "SELECT accession_number, round(ttm_revenue, 5) AS ttm_revenue, round(ttm_net_income, 5) AS ttm_net_income, round(ttm_fcf, 5) AS ttm_fcf FROM ttm"
 
-@query("w18_ttm", oracle("SELECT accession_number, round(ttm_revenue, 5) AS ttm_revenue, round(ttm_net_income, 5) AS ttm_net_income, round(ttm_fcf, 5) AS ttm_fcf FROM ttm", TTM))
+
+@query("w18_ttm", oracle(_TTM_OUT, TTM))
 def _(spark, d):
     return rounded(U.ttm(V.filings(spark, d)).select("accession_number", "ttm_revenue", "ttm_net_income", "ttm_fcf"), digits=5)
 
 
+GAPS = ("gaps", "SELECT * REPLACE (CASE WHEN month(period_end) = 6 AND ticker_id % 3 = 0 THEN NULL ELSE net_income END AS net_income, CASE WHEN filing_type = '10-K' AND ticker_id % 2 = 0 THEN NULL ELSE fcf END AS fcf) FROM filings")
+
+
+@query("w18_ttm_with_gaps", oracle(_TTM_OUT, GAPS, ("ttm", _ttm_sql("gaps"))))
+def _(spark, d):
+    """Filings of which some state no net income and some years no free cash flow."""
+    gaps = V.filings(spark, d).withColumns({"net_income": F.when(~((F.month("period_end") == 6) & (F.col("ticker_id") % 3 == 0)), F.col("net_income")), "fcf": F.when(~((F.col("filing_type") == "10-K") & (F.col("ticker_id") % 2 == 0)), F.col("fcf"))})
+    return rounded(U.ttm(gaps).select("accession_number", "ttm_revenue", "ttm_net_income", "ttm_fcf"), digits=5)
+
+
 STABILITY = (
     "stability",
     "SELECT *, "
@@ -470,7 +481,7 @@ def _(spark, d):
 @query("x15_prepared_panel")
 def _(spark, d):
     p = L.prepared_panel(spark, d)
-    return p.select("date", "ticker_id", "sector", *L.feature_columns(("valuation", "quality", "residual_momentum", "earnings_reaction", "analyst_revision", "revision_momentum", "forward_valuation", "lottery", "microstructure", "other")), *(f"{k}_{h}" for h in P.HORIZONS for k in ("r", "mask")))
+    return p.select("date", "ticker_id", "sector", *L.feature_columns(("valuation", "quality", "residual_momentum", "earnings_reaction", "analyst_revision", "estimate_surprise", "eps_surprise", "revision_momentum", "forward_valuation", "lottery", "microstructure", "knife", "eps_dispersion", "short_interest")), *(f"{k}_{h}" for h in P.HORIZONS for k in ("r", "mask")))
 
 
 @query("e00_top_momentum", oracle(f"SELECT * FROM (SELECT date, ticker_id, round({sql_rank('mom_1m')}, 6) AS rank FROM panel QUALIFY row_number() OVER (PARTITION BY date ORDER BY mom_1m DESC, ticker_id) <= 20)"))

@@ -8,25 +8,30 @@ from pyspark.sql import functions as F
 from quartz_panel.operators import crosssection as X
 from quartz_panel.operators import fundamentals as U
 from quartz_panel.operators import price as P
+from quartz_panel.operators import sentiment as T
 from quartz_panel.operators.asof import asof_join
 from quartz_panel.sources import views as V
 
 #: Feature names by pack.
 PACKS = {
-    "price": "mom_1m mom_3m mom_6m mom_12_1 log_market_cap vol_20d vol_60d vol_120d dist_high_252 dist_low_252 ma_gap_50 ma_gap_200 vol_trend".split(),
-    "fundamental": "revenue_growth gross_margin operating_margin debt_equity fcf_revenue".split(),
-    "available": ["fund_available"],
-    "sentiment": "sentiment_7d sentiment_14d".split(),
-    "valuation": "earnings_yield book_to_market sales_to_price fcf_yield".split(),
-    "quality": "roe_ttm net_margin_ttm fcf_margin_ttm gross_margin_stability_4q operating_margin_stability_4q revenue_growth_stability_4q".split(),
-    "residual_momentum": "resid_mom_12_1 resid_mom_6m mom_accel_3_6 mom_consistency_6m industry_neutral_mom_12_1".split(),
-    "earnings_reaction": "filing_drift_30d filing_surprise_3d filings_recency_days filings_in_90d".split(),
-    "analyst_revision": "rec_mean_level rec_rev_30d rec_rev_90d price_target_rev_90d revenue_surprise eps_surprise".split(),
-    "revision_momentum": "eps_est_rev_30d eps_est_rev_90d coverage_chg_90d pt_num_estimates".split(),
-    "forward_valuation": "forward_earnings_yield forward_ebitda_yield price_target_upside".split(),
-    "lottery": "max_ret_21d idio_vol".split(),
-    "microstructure": "ret_skew_120d downside_vol_ratio_120d amihud_illiq_60d turnover_60d efficiency_ratio_120d".split(),
-    "other": "knife_score eps_dispersion short_ratio".split(),
+    "price": ("mom_1m", "mom_3m", "mom_6m", "mom_12_1", "log_market_cap", "vol_20d", "vol_60d", "vol_120d", "dist_high_252", "dist_low_252", "ma_gap_50", "ma_gap_200", "vol_trend"),
+    "fundamental": ("revenue_growth", "gross_margin", "operating_margin", "debt_equity", "fcf_revenue"),
+    "available": ("fund_available",),
+    "sentiment": ("sentiment_7d", "sentiment_14d"),
+    "valuation": ("earnings_yield", "book_to_market", "sales_to_price", "fcf_yield"),
+    "quality": ("roe_ttm", "net_margin_ttm", "fcf_margin_ttm", "gross_margin_stability_4q", "operating_margin_stability_4q", "revenue_growth_stability_4q"),
+    "residual_momentum": ("resid_mom_12_1", "resid_mom_6m", "mom_accel_3_6", "mom_consistency_6m", "industry_neutral_mom_12_1"),
+    "earnings_reaction": ("filing_drift_30d", "filing_surprise_3d", "filings_recency_days", "filings_in_90d"),
+    "analyst_revision": ("rec_mean_level", "rec_rev_30d", "rec_rev_90d", "price_target_rev_90d"),
+    "estimate_surprise": ("revenue_surprise",),
+    "eps_surprise": ("eps_surprise",),
+    "forward_valuation": ("forward_earnings_yield", "forward_ebitda_yield", "price_target_upside"),
+    "revision_momentum": ("eps_est_rev_30d", "eps_est_rev_90d", "coverage_chg_90d", "pt_num_estimates"),
+    "lottery": ("max_ret_21d", "idio_vol"),
+    "microstructure": ("ret_skew_120d", "downside_vol_ratio_120d", "amihud_illiq_60d", "turnover_60d", "efficiency_ratio_120d"),
+    "knife": ("knife_score",),
+    "eps_dispersion": ("eps_dispersion",),
+    "short_interest": ("short_ratio",),
 }
 DEFAULT_PACKS = ("price", "fundamental", "available", "sentiment")
 #: The production choice of target and settings by horizon.
@@ -60,7 +65,7 @@ def price_panel(spark, d) -> DataFrame:
 
 
 def full_panel(spark, d) -> DataFrame:
-    """price_panel with fundamentals, valuation, filing reaction, analyst figures and short interest."""
+    """price_panel with fundamentals, valuation, filing reaction, analyst figures, short interest and sentiment."""
     bars, filings = V.bars(spark, d), V.filings(spark, d)
     panel = price_panel(spark, d)
     cols = ["revenue_growth", "gross_margin", "operating_margin", "debt_equity", "fcf_revenue", "total_equity", "ttm_revenue", "ttm_net_income", "ttm_fcf", "gross_margin_stability_4q", "operating_margin_stability_4q", "revenue_growth_stability_4q"]
@@ -72,7 +77,9 @@ def full_panel(spark, d) -> DataFrame:
     panel = panel.join(U.estimate_features(keys, V.estimates(spark, d), V.surprises(spark, d)), ["ticker_id", "date"])
     panel = panel.join(U.short_ratio(keys, V.short_interest(spark, d)), ["ticker_id", "date"])
     upside = F.when((F.col("adj_close") > 0) & (F.col("price_target_mean") != 0), (F.col("price_target_mean") - F.col("adj_close")) / F.col("adj_close"))
-    panel = panel.withColumn("price_target_upside", F.coalesce(upside, F.lit(0.0))).withColumn("sentiment_7d", F.lit(0.0)).withColumn("sentiment_14d", F.lit(0.0))
+    panel = panel.withColumn("price_target_upside", F.coalesce(upside, F.lit(0.0)))
+    daily = T.rolling_sentiment(T.sentiment_daily(V.headlines(spark, d)))
+    panel = T.filled(panel, daily)
     return X.group_median_gap(panel, "mom_12_1", "industry", "industry_neutral_mom_12_1")
 
 
@@ -82,5 +89,5 @@ def prepared_panel(spark, d, horizons=("1M", "3M", "6M", "1Y")) -> DataFrame:
     for h in horizons:
         panel = X.demean(panel, medians.filter(F.col("horizon") == h), h)
     panel = panel.withColumn("raw_vol_60d", F.col("vol_60d"))
-    features = [c for p in PACKS if p != "other" for c in PACKS[p]] + ["eps_dispersion", "short_ratio"]
+    features = [c for p in PACKS if p != "knife" for c in PACKS[p]]
     return X.knife_score(X.rank_normalize(panel, features))

@@ -469,7 +469,7 @@ def _(spark, d):
 
 
 #: the features of the prepared panel
-_FEATURES = [c for p in L.PACKS if p != "other" for c in L.PACKS[p]] + ["eps_dispersion", "short_ratio"]
+_FEATURES = [c for p in L.PACKS if p != "knife" for c in L.PACKS[p]]
 
 
 def _prepared(spark, d):

@@ -13,6 +13,7 @@ from quartz_panel.operators import crosssection as X
 from quartz_panel.operators import evaluate as E
 from quartz_panel.operators import fundamentals as U
 from quartz_panel.operators import models as M
+from quartz_panel.operators import price as P
 from quartz_panel.operators.asof import asof_join
 from quartz_panel.sources import ingest as G
 
@@ -53,6 +54,39 @@ def test_estimate_golden_values(spark):
     assert (round(r.revenue_surprise, 9), round(r.eps_surprise, 9), r.eps_est_rev_90d, r.coverage_chg_90d, r.pt_num_estimates) == (0.1, 0.25, 0.25, 2.0, 8.0)
 
 
+def test_ttm_with_nulls_and_many_amendments(spark):
+    """A null quarter takes no place among the four; amendments, however many, hide no older period."""
+    q = [(D(2020, 3, 31), 1.0), (D(2020, 6, 30), None), (D(2020, 9, 30), 1.0), (D(2021, 3, 31), 1.0), (D(2021, 6, 30), 1.0)]
+    rows = [(1, f"a{i}", "10-Q", p, p + dt.timedelta(40), v, v, v) for i, (p, v) in enumerate(q)]
+    rows += [(2, "y0", "10-K", D(2020, 12, 31), D(2021, 2, 1), 5.0, None, 5.0), (2, "y1", "10-K", D(2021, 12, 31), D(2022, 2, 1), None, None, 6.0)]
+    rows += [(3, f"b{i:02}", "10-Q", p, p + dt.timedelta(40), 1.0, 1.0, 1.0) for i, p in enumerate([D(2021, 3, 31), D(2021, 6, 30), D(2021, 9, 30)])]
+    rows += [(3, f"c{i:02}", "10-Q", D(2021, 12, 31), D(2022, 2, 1) + dt.timedelta(i), 1.0, 1.0, float(i)) for i in range(15)]
+    f = spark.createDataFrame(rows, "ticker_id long, accession_number string, filing_type string, period_end date, filed_at date, revenue double, net_income double, fcf double")
+    got = {r.accession_number: (r.ttm_revenue, r.ttm_net_income, r.ttm_fcf) for r in U.ttm(f).collect()}
+    assert got["a3"] == (0.0,) * 3 and got["a4"] == (0.0,) * 3  # three quarters, and then four over 456 days
+    assert got["y0"] == (5.0, 0.0, 5.0) and got["y1"] == (5.0, 0.0, 6.0)
+    assert got["c14"] == (4.0, 4.0, 17.0)
+
+
+def test_a_nan_price_is_a_gap(spark):
+    import math
+
+    day = D(2020, 1, 1)
+    price = lambda i, t: math.nan if (i, t) == (300, 1) else 100.0 * math.exp(0.001 * i + 0.02 * math.sin(i * (1 + t)))
+    bars = spark.createDataFrame([(t, day + dt.timedelta(i), price(i, t), 1000) for t in (1, 2, 3) for i in range(700)], "ticker_id long, trade_date date, adj_close double, volume long")
+    names = spark.createDataFrame([(t, 1e6, "s", "i") for t in (1, 2, 3)], "ticker_id long, shares_outstanding double, sector string, industry string")
+    rows = P.price_factors(bars, names).filter("ticker_id = 1").orderBy("pos").collect()
+    assert not any(isinstance(v, float) and math.isnan(v) for r in rows if r.pos > 300 for v in r)
+    assert rows[-1].vol_60d > 0 and rows[-1].beta_252d != 0 and rows[350 - 252].ma_gap_50 is not None
+
+
+def test_smoothing_is_linear_and_skips_nulls(spark):
+    r = spark.createDataFrame([(1, D(2020, 1, 1), 1.0), (1, D(2020, 2, 1), None), (1, D(2020, 3, 1), 0.0), (2, D(2020, 1, 1), 0.5)], "ticker_id long, date date, rank double")
+    got = {(x.ticker_id, x.date.month): x.smooth for x in E.ewma_rank(r, 3).collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 1.0, (1, 3): 0.5, (2, 1): 0.5}
+    assert E.ewma_rank(r.limit(0), 3).count() == 0
+
+
 def test_drift_and_upsert(spark):
     old = spark.createDataFrame([(1, D(2020, 1, 1), 100.0), (2, D(2020, 1, 1), 0.0), (3, D(2020, 1, 1), 100.0)], "ticker_id long, trade_date date, adj_close double")
     new = spark.createDataFrame([(1, D(2020, 1, 1), 101.0), (2, D(2020, 1, 1), 5.0), (3, D(2020, 1, 1), 100.05)], old.schema)
