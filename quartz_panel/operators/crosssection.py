@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def average_rank(value: str, *by: str) -> Column:
     """Rank from 1 with ties averaged; null values stay null and aren't ranked."""
     w = Window.partitionBy(*by, F.col(value).isNull()).orderBy(value)
-    same = Window.partitionBy(*by, value)
-    return F.when(F.col(value).isNotNull(), F.rank().over(w) + (F.count("*").over(same) - 1) / 2)
+    ties = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))  # the rows of equal value, by the same shuffle and sort
+    return F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / 2)
 
 
 def counted(value: str, *by: str) -> Column:

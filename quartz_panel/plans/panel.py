@@ -10,6 +10,7 @@ from quartz_panel.operators import fundamentals as U
 from quartz_panel.operators import price as P
 from quartz_panel.operators import sentiment as T
 from quartz_panel.operators.asof import asof_join
+from quartz_panel.operators.cut import cut
 from quartz_panel.sources import views as V
 
 #: Feature names by pack.
@@ -67,11 +68,11 @@ def price_panel(spark, d) -> DataFrame:
 def full_panel(spark, d) -> DataFrame:
     """price_panel with fundamentals, valuation, filing reaction, analyst figures, short interest and sentiment."""
     bars, filings = V.bars(spark, d), V.filings(spark, d)
-    panel = price_panel(spark, d)
+    panel = cut(price_panel(spark, d))  # read four times below
     cols = ["revenue_growth", "gross_margin", "operating_margin", "debt_equity", "fcf_revenue", "total_equity", "ttm_revenue", "ttm_net_income", "ttm_fcf", "gross_margin_stability_4q", "operating_margin_stability_4q", "revenue_growth_stability_4q"]
     panel = asof_join(panel, U.annotated(filings).withColumn("__ok", F.lit(1.0)), ["ticker_id"], "date", "filed_at", [*cols, "__ok"], tie=["accession_number"])
     panel = panel.withColumn("fund_available", F.coalesce("__ok", F.lit(0.0))).drop("__ok").fillna(0.0, cols)
-    panel = U.valuation(panel)
+    panel = cut(U.valuation(panel))
     keys = panel.select("ticker_id", "date", "pos")
     panel = panel.join(U.filing_reaction(keys, filings, bars, P.universe_returns(bars)), ["ticker_id", "date"])
     panel = panel.join(U.estimate_features(keys, V.estimates(spark, d), V.surprises(spark, d)), ["ticker_id", "date"])
@@ -80,7 +81,7 @@ def full_panel(spark, d) -> DataFrame:
     panel = panel.withColumn("price_target_upside", F.coalesce(upside, F.lit(0.0)))
     daily = T.rolling_sentiment(T.sentiment_daily(V.headlines(spark, d)))
     panel = T.filled(panel, daily)
-    return X.group_median_gap(panel, "mom_12_1", "industry", "industry_neutral_mom_12_1")
+    return cut(X.group_median_gap(panel, "mom_12_1", "industry", "industry_neutral_mom_12_1"))
 
 
 def prepared_panel(spark, d, horizons=("1M", "3M", "6M", "1Y")) -> DataFrame:
