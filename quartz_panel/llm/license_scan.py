@@ -38,6 +38,49 @@ TEMPLATES = {
     "public-domain": "[[this {{1}} is]] [[released]] [[dedicated]] [[in]] [[to]] the public domain",
 }
 
+_BSD = """redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: [[1]] redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. [[2]] redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. %s this software is provided by {{8}} as is and any express or implied warranties, including, but not limited
+to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. in no event shall {{8}}
+be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to,
+procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on
+any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any
+way out of the use of this software, even if advised of the possibility of such damage"""
+
+#: Whole licence texts and file headers; wording fixed by the licences, names and numbering optional or replaceable.
+TEMPLATES |= {
+    "mit-text": """permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the software), to deal in the software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom
+the software is furnished to do so, subject to the following conditions: the above copyright notice and this permission
+notice [[(including the next paragraph)]] shall be included in all copies or substantial portions of the software. the
+software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of
+merchantability, fitness for a particular purpose and noninfringement. in no event shall {{8}} be liable for any claim,
+damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with
+the software or the use or other dealings in the software""",
+    "isc-text": """permission to use, copy, modify, and [[/or]] distribute this software for any purpose with or without fee is
+hereby granted, provided that the above copyright notice and this permission notice appear in all copies. the software is
+provided as is and {{8}} disclaims all warranties with regard to this software including all implied warranties of
+merchantability and fitness. in no event shall {{8}} be liable for any special, direct, indirect, or consequential damages or
+any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other
+tortious action, arising out of or in connection with the use or performance of this software""",
+    "bsd-2-text": _BSD % "",
+    "bsd-3-text": _BSD % "[[3]] neither the name of {{8}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "apache-2.0-header": """licensed under the apache license, version 2.0 (the license); you may not use this file except in
+compliance with the license. you may obtain a copy of the license at [[http]] [[https]] www.apache.org/licenses/license-2.0
+unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is
+basis, without warranties or conditions of any kind, either express or implied. see the license for the specific language
+governing permissions and limitations under the license""",
+    "mpl-2.0-header": """this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of the mpl
+was not distributed with this file, you can obtain one at [[http]] [[https]] [[www]] mozilla.org/mpl/2.0""",
+    "gpl-header": """this program is free software: you can redistribute it and/or modify it under the terms of the gnu general
+public license as published by the free software foundation, either version {{1}} of the license, or [[(at your option)]] any
+later version. this program is distributed in the hope that it will be useful, but without any warranty; without even the
+implied warranty of merchantability or fitness for a particular purpose. see the gnu general public license for more details""",
+}
+
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _MARK = re.compile(r"\[\[|\]\]|\{\{(\d+)\}\}|([0-9a-z]+)")
 
@@ -162,7 +205,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phras
 
     A-Z are lower-cased and words are runs of digits, letters and non-ASCII characters.  Null and empty
     texts have no words and empty lists.  Places of one template don't overlap: the longest run from
-    the left counts.  Repeated rows give repeated rows; other columns are ignored.
+    the left counts.  Texts of any length are taken whole, one or a batch a task.  Repeated rows give
+    repeated rows; other columns are ignored, whatever their names.
     """
     templates, phrases = templates or TEMPLATES, phrases or BASE_PHRASES
     return docs.select("doc_id", "text").mapInArrow(

@@ -44,3 +44,54 @@ def test_base_and_templates(spark):
     assert labels[5] == set() and "cc-by-nc" in labels[6] and "cc-by" in labels[7] and labels[8] == {"rights-reserved"} and labels[9] == set()
     assert [(m.first_word, m.end_word) for m in got[2].matches] == [(0, 12)]
     assert S.license_scan(df.limit(0)).count() == 0
+
+
+WHOLE = ("mit-text", "isc-text", "bsd-2-text", "bsd-3-text", "apache-2.0-header", "mpl-2.0-header", "gpl-header")
+
+
+def filled(template, optional, names):
+    """A text of the template: optional wording in or out, ``names`` words in each replaceable region."""
+    text = re.sub(r"\[\[(.*?)\]\]", r"\1" if optional else "", template)
+    return re.sub(r"\{\{(\d+)\}\}", lambda m: " ".join(["Name"] * min(names, int(m[1]))), text)
+
+
+@pytest.mark.parametrize("label", WHOLE)
+def test_whole_texts(label):
+    scan = S.Scanner(S.TEMPLATES, S.BASE_PHRASES).scan
+    labels = lambda text: {x for x, _, _ in scan(text.lower().encode())[1]}
+    template, n = S.TEMPLATES[label], len(S.compiled(S.TEMPLATES[label]).mandatory)
+    for optional in (True, False):
+        for names in (0, 1, 8):
+            text = filled(template, optional, names)
+            assert label in labels(f"Copyright (c) 2001\n\n {text.upper()} \n end"), (optional, names)
+    words = S._WORD.findall(filled(template, False, 0).encode())
+    assert len(words) == n and n > 20
+    for i in range(n):  # each mandatory word counts: none may be changed or missing, and none added
+        for other in ([b"zz"], [], [words[i], b"zz"] if 0 < i < n - 1 and b"{{" not in template.encode() else [b"zz"]):
+            assert label not in labels(b" ".join(words[:i] + other + words[i + 1 :]).decode()), (i, other)
+
+
+def test_bsd_clauses_differ():
+    scan = S.Scanner(S.TEMPLATES, S.BASE_PHRASES).scan
+    for one, two in (("bsd-2-text", "bsd-3-text"), ("bsd-3-text", "bsd-2-text")):
+        labels = {x for x, _, _ in scan(filled(S.TEMPLATES[one], True, 2).lower().encode())[1]}
+        assert one in labels and two not in labels and "bsd-grant" in labels
+
+
+def test_query_columns(spark, tmp_path):
+    from quartz_panel.llm.queries import op4_license_scan
+
+    rows = [*ROWS, filled(S.TEMPLATES["mit-text"], True, 3), "MIT License\n" + filled(S.TEMPLATES["mit-text"], False, 0)]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op4_license_scan(spark, str(tmp_path)).collect()}
+    scan = S.Scanner(S.TEMPLATES, S.BASE_PHRASES).scan
+    for i, text in enumerate(rows):
+        n_words, hits = brute(text)
+        starts, base = [h[0] for h in hits], sorted({h[1] for h in hits})
+        r = got[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (n_words, len(hits), ",".join(base)), text
+        assert (r.first_word, r.last_word) == ((min(starts), max(starts)) if starts else (None, None)), text
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode()
+        assert r.labels == ",".join(sorted({*base, *(x for x, _, _ in scan(low)[1])})), text
+        assert 0 <= r.score <= 1
+    assert len(got) == len(rows)
