@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, with_links
 from .store import Scratch, broadcast_if_below
 from .textops import LOWER, mix, signed, text_chunks, word_hashes, words
 
@@ -335,10 +335,11 @@ class _Join:
         led = blocks.filter("doc_id <> leader").groupBy("doc_id", "leader").count().groupBy("doc_id").agg(F.max(F.struct("count", -c("leader"))).alias("best"))
         links = self.linking(led.select((-c("best")["col2"]).alias("a"), c("doc_id").alias("b")))
         parts = connected_components(links, keep)
-        blocks, parts, links = self.closed(blocks, parts, links)
+        keep.drop(links)
+        blocks, parts = self.closed(blocks, parts)
         more = self.remaining(blocks)
         if not more.isEmpty():
-            parts = connected_components(links.union(more), keep)
+            parts = with_links(parts, more, keep)
         keep.drop(reps)
 
         of_class = classes.select("digest", c("doc_id").alias("node")).join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
@@ -376,7 +377,7 @@ class _Join:
         self.scratch.drop(known)
         return out
 
-    def closed(self, blocks: DataFrame, parts: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def closed(self, blocks: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Try neighbours of different components in the large open blocks, in another order each round, until a round links few."""
         keep, n = self.scratch, 0
         todo = self.still_open(blocks, parts)
@@ -384,7 +385,7 @@ class _Join:
         while True:
             large = todo.filter(F.col("members") > self.s.frequent).withColumn("order", F.xxhash64(F.lit(n), "doc_id"))
             if large.isEmpty():
-                return todo, parts, links
+                return todo, parts
             sub = F.pmod(F.xxhash64(F.lit(-n), "doc_id"), F.ceil(F.col("members") / SUB_BLOCK))
             before = Window.partitionBy("key", sub).orderBy("order", "doc_id")
             pairs = large.select("doc_id", "part", F.lag("doc_id").over(before).alias("other"), F.lag("part").over(before).alias("other_part")).filter("part <> other_part")
@@ -393,13 +394,13 @@ class _Join:
             n_tried, n_found = tried.count(), found.count()
             keep.drop(tried)
             if n_found:
-                links = links.union(found)
-                parts = connected_components(links, keep)
+                before, parts = parts, with_links(parts, found, keep)
                 rest = self.still_open(todo, parts)
-                keep.drop(todo)
+                keep.drop(todo, before)
                 todo = rest
+            keep.drop(found)
             if 20 * n_found <= n_tried:
-                return todo, parts, links
+                return todo, parts
             n += 1
 
     def remaining(self, blocks: DataFrame) -> DataFrame:
