@@ -328,7 +328,7 @@ class _Join:
         self.sketches = reps.select("doc_id", "n", "sketch")
         index = indexed(reps, self.texts, s, keep)
         postings = index.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
-        shared = postings.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count("*").alias("members")).filter("leader <> last").drop("last")
+        shared = postings.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members")).filter("members > 1")
         blocks = keep.written(postings.join(shared, "key"), "blocks")
         keep.drop(index)
 
