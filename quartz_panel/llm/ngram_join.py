@@ -357,9 +357,13 @@ class _Join:
     def linking(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that link, by size, sketch and then the words of their texts: a written table."""
         s, keep = self.s, self.scratch
-        x, y = (self.sketches.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
-        near = pairs.join(x, "a").join(y, "b").filter(_may_link(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), s))
+        tried = keep.written(pairs.select("a", "b"), "tried-pairs")
+        ids = keep.written(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "tried-ids")
+        sketches = self.sketches.join(broadcast_if_below(ids, 32, self.most), "doc_id", "left_semi")
+        x, y = (sketches.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+        near = tried.join(x, "a").join(y, "b").filter(_may_link(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), s))
         pairs = keep.written(near.select("a", "b").distinct(), "pairs")
+        keep.drop(tried, ids)
         needed = keep.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
         texts = self.texts(needed)
         texts = keep.written(texts if self.unique else texts.dropDuplicates(["doc_id"]), "texts")
