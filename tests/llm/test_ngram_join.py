@@ -121,6 +121,22 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(101)) and all(v == 1000 for k, v in got.items() if k >= 1000) and 500 not in got
 
 
+def test_later_links_give_the_components_of_all_links(spark):
+    rng = random.Random(4)
+    old, new = ([(rng.randrange(300), rng.randrange(300)) for _ in range(90)] for _ in range(2))
+    new += [new[0], (7, 7), (900, 901)]
+    table = lambda links: spark.createDataFrame(links, "a long, b long")
+    keep = C.Scratch(spark)
+    parts = C.connected_components(table(old), keep)
+    got = {r.node: r.component for r in C.with_links(parts, table(new), keep).collect()}
+    least = {v: v for link in old + new for v in link}
+    for _ in least:
+        for a, b in old + new:
+            least[a] = least[b] = min(least[a], least[b])
+    linked = {v for a, b in old + new for v in (a, b) if a != b}
+    assert all(got[v] == least[v] for v in linked) and all(got[v] == v for v in got.keys() - linked)
+
+
 def test_query_on_given_documents(spark):
     d = "/root/testdata/sf0.001"
     data = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
