@@ -99,6 +99,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_documents(spark, sf_dir)).select("doc_id", "n_bytes", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model") -> DataFrame:
+    from .token_alignment import token_alignment
+
+    return token_alignment(_documents(spark, sf_dir), _tokenizer(a), _tokenizer(b))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .whitening import whitened_components
 
