@@ -56,21 +56,26 @@ def group_median_gap(panel: DataFrame, value: str, group: str, out: str, min_gro
     return panel.withColumn(out, F.when(F.col(group).isNotNull() & (F.count(v).over(w) >= min_group), F.col(value) - F.median(v).over(w)).otherwise(F.col(value)))
 
 
-def knife_score(panel: DataFrame, vol="vol_60d", trend="ma_gap_200", dlow="dist_low_252") -> DataFrame:
-    """Adds knife_score = vol rank * (1 - mean of trend and distance-to-low ranks); null parts take the date's median, then 0.5."""
+def knife_score(panel: DataFrame, vol="vol_120d", trend="ma_gap_200", dlow="dist_low_252", ranked: bool = False) -> DataFrame:
+    """Adds vol_p (percentile of volatility), downtrend_p (1 - mean percentile of trend and distance to the low) and knife_score, their product.
+
+    A null product takes the date's median product, then 0.5; null parts are 0.5 afterwards.  ``ranked``: the columns are ranks in [-1, 1] already.
+    Without one of the columns all three are 0.5."""
+    if not {vol, trend, dlow} <= set(panel.columns):
+        return panel.withColumns(dict.fromkeys(("vol_p", "downtrend_p", "knife_score"), F.lit(0.5)))
     df = panel
-    for c in (vol, trend, dlow):
-        if c in panel.columns:
-            df = rank01(df, ["date"], c, f"__{c}")
-            df = df.withColumn(f"__{c}", F.coalesce(f"__{c}", F.median(f"__{c}").over(Window.partitionBy("date")), F.lit(0.5)))
-        else:
-            df = df.withColumn(f"__{c}", F.lit(0.5))
-    return df.withColumn("knife_score", F.col(f"__{vol}") * (1 - (F.col(f"__{trend}") + F.col(f"__{dlow}")) / 2)).drop(*(f"__{c}" for c in (vol, trend, dlow)))
+    for c, p in ((vol, "__v"), (trend, "__t"), (dlow, "__l")):
+        df = df.withColumn(p, (F.col(c) + 1) / 2) if ranked else rank01(df, ["date"], c, p)
+    df = df.withColumn("vol_p", F.col("__v")).withColumn("downtrend_p", 1 - (F.col("__t") + F.col("__l")) / 2)
+    df = df.withColumn("knife_score", F.col("vol_p") * F.col("downtrend_p")).drop("__v", "__t", "__l")
+    median = F.median("knife_score").over(Window.partitionBy("date"))
+    return df.withColumn("knife_score", F.coalesce("knife_score", median, F.lit(0.5))).fillna(0.5, ["vol_p", "downtrend_p"])
 
 
-def knife_tier(risk, high: float = 0.8, mid: float = 0.6) -> Column:
-    risk = F.col(risk) if isinstance(risk, str) else risk
-    return F.when(risk >= high, "high").when(risk >= mid, "elevated").otherwise("none")
+def knife_tier(vol_p="vol_p", downtrend_p="downtrend_p", high: float = 0.8, mid: float = 0.6) -> Column:
+    """high or elevated where both the volatility and the down-trend percentile reach the mark."""
+    both = F.least(vol_p, downtrend_p)
+    return F.when(both >= high, "high").when(both >= mid, "elevated").otherwise("none")
 
 
 def knife_overlay(df: DataFrame, by: list[str], rank: str, knife: str, weight: float, out: str) -> DataFrame:
@@ -101,11 +106,11 @@ def target_sector_return(panel: DataFrame, horizon: str, out: str = "y_sector_re
     return group_median_gap(panel, value or f"r_{horizon}", "sector", out, 5, F.col(f"mask_{horizon}"))
 
 
-def target_sector_return_vol(panel: DataFrame, horizon: str, vol: str = "vol_60d") -> DataFrame:
-    """Sector-relative return over max(vol, the date's 20th percentile of vol), at least 1e-4."""
+def target_sector_return_vol(panel: DataFrame, horizon: str, vol: str = "vol_120d") -> DataFrame:
+    """Sector-relative return over max(vol, the date's 20th percentile of vol), at least 1e-4; null where vol is."""
     floor = F.percentile(vol, F.lit(0.2)).over(Window.partitionBy("date"))
     df = target_sector_return(panel, horizon, "__s").withColumn("__f", floor)
-    return df.withColumn("y_sector_return_vol", F.col("__s") / F.greatest(F.col(vol), F.col("__f"), F.lit(1e-4))).drop("__s", "__f")
+    return df.withColumn("y_sector_return_vol", F.when(F.col(vol).isNotNull(), F.col("__s") / F.greatest(F.col(vol), F.col("__f"), F.lit(1e-4)))).drop("__s", "__f")
 
 
 def target_beta_resid(panel: DataFrame, market_r: DataFrame, horizon: str, sector: bool = False) -> DataFrame:

@@ -53,14 +53,15 @@ def block_bootstrap(ics: DataFrame, block: int, reps: int = 2000, seed: int = 13
 
 
 def top_decile_risk(pred: DataFrame, rank: str = "pred", decile: float = 0.1, by: tuple[str, ...] = ()) -> DataFrame:
-    """Means over dates of what the ceil(decile * n) best names have: knife, vol, down-trend share, r, downside deviation, share in the worst tenth."""
+    """Means over dates of what the ceil(decile * n) best names have: knife, volatility percentile, share in a down-trend (percentile
+    over 0.5), r, downside deviation, share under the date's 10th percentile of r."""
     keys = [*by, "date"]
     w = Window.partitionBy(*keys)
     p = pred.withColumn("__rn", F.row_number().over(w.orderBy(F.desc(rank), "ticker_id"))).withColumn("__n", F.count("*").over(w)).withColumn("__tail", F.percentile("r", F.lit(0.1)).over(w))
     p = p.filter(F.col("__rn") <= F.ceil(F.col("__n") * decile))
     day = p.groupBy(*keys).agg(
-        F.avg("knife_score").alias("knife"), F.avg("vol_60d").alias("vol"), F.avg((F.col("ma_gap_200") < 0).cast("double")).alias("downtrend"), F.avg("r").alias("mean_r"),
-        F.sqrt(F.avg(F.least(F.col("r"), F.lit(0.0)) * F.least(F.col("r"), F.lit(0.0)))).alias("downside"), F.avg((F.col("r") <= F.col("__tail")).cast("double")).alias("tail"),
+        F.avg("knife_score").alias("knife"), F.avg("vol_p").alias("vol"), F.avg((F.round("downtrend_p", 9) > 0.5).cast("double")).alias("downtrend"), F.avg("r").alias("mean_r"),
+        F.sqrt(F.avg(F.least(F.col("r"), F.lit(0.0)) * F.least(F.col("r"), F.lit(0.0)))).alias("downside"), F.avg((F.col("r") < F.col("__tail")).cast("double")).alias("tail"),
     )
     return day.groupBy(*by).agg(*(F.avg(c).alias(c) for c in ("knife", "vol", "downtrend", "mean_r", "downside", "tail")), F.count("*").alias("dates"))
 
@@ -111,7 +112,7 @@ def ewma_rank(ranks: DataFrame, span: int, by: tuple[str, ...] = ("ticker_id",),
 def rank_turnover(ranks: DataFrame, value: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
     """Mean over consecutive dates of the mean absolute rank change of the names on both."""
     dates = ranks.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")))
-    r = ranks.join(F.broadcast(dates), "date")
+    r = ranks.select(*by, "ticker_id", "date", value).join(F.broadcast(dates), "date")
     a = r.select(*by, "ticker_id", "i", F.col(value).alias("x"))
     b = r.select(*by, "ticker_id", (F.col("i") - 1).alias("i"), F.col(value).alias("y"))
     day = a.join(b, [*by, "ticker_id", "i"]).groupBy(*by, "i").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("m"))
@@ -182,18 +183,18 @@ def class_weights(long: DataFrame, power: float = 0.5) -> DataFrame:
 
 
 def embargo_months(horizon_bars: int) -> int:
-    return math.ceil(horizon_bars / 21)
+    return max(1, math.ceil(horizon_bars / 21))
 
 
 def walk_forward_folds(dates: DataFrame, horizon_bars: int, min_train: int = 12, window: int | None = None) -> DataFrame:
-    """fold dates: test_date, cutoff (last training date, an embargo of ceil(h / 21) months before), lower (first training date)."""
+    """fold dates: test_date, cutoff (last training date, ceil(h / 21) month ends before it), lower (first training date, ``window`` month ends before the cutoff)."""
     gap = embargo_months(horizon_bars)
     d = dates.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
     t = d.filter(F.col("i") >= min_train + gap).select(F.col("date").alias("test_date"), F.col("i").alias("t"))
     cut = d.select(F.col("date").alias("cutoff"), F.col("i").alias("c"))
     low = d.select(F.col("date").alias("lower"), F.col("i").alias("l"))
     first = F.greatest(F.col("t") - gap - (window or 0), F.lit(0)) if window else F.lit(0)
-    return t.join(F.broadcast(cut), F.col("c") == F.col("t") - gap - 1).join(F.broadcast(low), F.col("l") == first).select("test_date", "cutoff", "lower")
+    return t.join(F.broadcast(cut), F.col("c") == F.col("t") - gap).join(F.broadcast(low), F.col("l") == first).select("test_date", "cutoff", "lower")
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["knife_overlay"]

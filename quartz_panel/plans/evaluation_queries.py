@@ -61,7 +61,7 @@ def _(spark, d):
 
 
 RISK = """SELECT {by}avg(knife) AS knife, avg(vol) AS vol, avg(downtrend) AS downtrend, avg(mean_r) AS mean_r, avg(downside) AS downside, avg(tail) AS tail, count(*) AS dates FROM (
-  SELECT {by}date, avg(knife_score) AS knife, avg(vol_60d) AS vol, avg((ma_gap_200 < 0)::INT) AS downtrend, avg(r) AS mean_r, sqrt(avg(least(r, 0) * least(r, 0))) AS downside, avg((r <= tq)::INT) AS tail FROM (
+  SELECT {by}date, avg(knife_score) AS knife, avg(vol_p) AS vol, avg((round(downtrend_p, 9) > 0.5)::INT) AS downtrend, avg(r) AS mean_r, sqrt(avg(least(r, 0) * least(r, 0))) AS downside, avg((r < tq)::INT) AS tail FROM (
     SELECT *, row_number() OVER (PARTITION BY {by}date ORDER BY {rank} DESC, ticker_id) AS rn, count(*) OVER (PARTITION BY {by}date) AS n, quantile_cont(r, 0.1) OVER (PARTITION BY {by}date) AS tq FROM {source}) WHERE rn <= ceil(n * 0.1) GROUP BY {by}date)"""
 
 
@@ -238,7 +238,7 @@ def _(spark, d):
     return rounded(E.prediction_metrics(melted(spark, d), 5))
 
 
-@query("m04_walk_forward_folds", oracle("SELECT t.date AS test_date, c.date AS cutoff, l.date AS lower FROM d t JOIN d c ON c.i = t.i - 4 JOIN d l ON l.i = greatest(t.i - 3 - 24, 0) WHERE t.i >= 15", ("d", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM panel)")))
+@query("m04_walk_forward_folds", oracle("SELECT t.date AS test_date, c.date AS cutoff, l.date AS lower FROM d t JOIN d c ON c.i = t.i - 3 JOIN d l ON l.i = greatest(t.i - 3 - 24, 0) WHERE t.i >= 15", ("d", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM panel)")))
 def _(spark, d):
     return E.walk_forward_folds(L.price_panel(spark, d).select("date"), 63, 12, 24)
 

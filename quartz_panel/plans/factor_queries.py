@@ -405,23 +405,23 @@ def _(spark, d):
     return rounded(X.group_median_gap(L.price_panel(spark, d), "mom_12_1", "sector", "neutral").select("date", "ticker_id", "neutral"))
 
 
-_KNIFE_Q = ("kq", "SELECT date, ticker_id, sector, r_3M, mask_3M, round(mom_6m, 8) + 0.0 AS mom_6m, round(vol_60d, 8) AS vol_60d, round(ma_gap_200, 8) + 0.0 AS ma_gap_200, round(dist_low_252, 8) AS dist_low_252, round(efficiency_ratio_120d, 8) AS er, round(mom_1m, 8) + 0.0 AS mom_1m FROM panel")
-KNIFE = ("knife", f"SELECT *, v * (1 - (t + l) / 2) AS knife_score FROM (SELECT *, {sql_rank('vol_60d')} AS v, {sql_rank('ma_gap_200')} AS t, {sql_rank('dist_low_252')} AS l FROM kq)")
+_KNIFE_Q = ("kq", "SELECT date, ticker_id, sector, r_3M, mask_3M, round(mom_6m, 8) + 0.0 AS mom_6m, round(vol_60d, 8) AS vol_60d, round(vol_120d, 8) AS vol_120d, round(ma_gap_200, 8) + 0.0 AS ma_gap_200, round(dist_low_252, 8) AS dist_low_252, round(efficiency_ratio_120d, 8) AS er, round(mom_1m, 8) + 0.0 AS mom_1m FROM panel")
+KNIFE = ("knife", f"SELECT *, v AS vol_p, 1 - (t + l) / 2 AS downtrend_p, v * (1 - (t + l) / 2) AS knife_score FROM (SELECT *, {sql_rank('vol_120d')} AS v, {sql_rank('ma_gap_200')} AS t, {sql_rank('dist_low_252')} AS l FROM kq)")
 
 
 def knife_panel(spark, d):
-    p = L.price_panel(spark, d).withColumnRenamed("efficiency_ratio_120d", "er").select("date", "ticker_id", "sector", "r_3M", "mask_3M", "mom_6m", "vol_60d", "ma_gap_200", "dist_low_252", "er", "mom_1m")
+    p = L.price_panel(spark, d).withColumnRenamed("efficiency_ratio_120d", "er").select("date", "ticker_id", "sector", "r_3M", "mask_3M", "mom_6m", "vol_60d", "vol_120d", "ma_gap_200", "dist_low_252", "er", "mom_1m")
     return X.knife_score(rounded(p, "r_3M", digits=8))
 
 
-@query("x06_knife_score", oracle("SELECT date, ticker_id, round(knife_score, 6) AS knife_score FROM knife", _KNIFE_Q, KNIFE))
+@query("x06_knife_score", oracle("SELECT date, ticker_id, round(knife_score, 9) AS knife_score FROM knife", _KNIFE_Q, KNIFE))
 def _(spark, d):
-    return rounded(knife_panel(spark, d).select("date", "ticker_id", "knife_score"))
+    return rounded(knife_panel(spark, d).select("date", "ticker_id", "knife_score"), digits=9)
 
 
-@query("x07_knife_tier", oracle("SELECT date, ticker_id, CASE WHEN round(knife_score, 9) >= 0.8 THEN 'high' WHEN round(knife_score, 9) >= 0.6 THEN 'elevated' ELSE 'none' END AS tier FROM knife", _KNIFE_Q, KNIFE))
+@query("x07_knife_tier", oracle("SELECT date, ticker_id, CASE WHEN round(vol_p, 9) >= 0.8 AND round(downtrend_p, 9) >= 0.8 THEN 'high' WHEN round(vol_p, 9) >= 0.6 AND round(downtrend_p, 9) >= 0.6 THEN 'elevated' ELSE 'none' END AS tier FROM knife", _KNIFE_Q, KNIFE))
 def _(spark, d):
-    return knife_panel(spark, d).select("date", "ticker_id", X.knife_tier(F.round("knife_score", 9)).alias("tier"))
+    return knife_panel(spark, d).select("date", "ticker_id", X.knife_tier(F.round("vol_p", 9), F.round("downtrend_p", 9)).alias("tier"))
 
 
 @query("x08_knife_overlay", oracle(f"SELECT date, ticker_id, round({sql_rank('b')}, 6) AS overlay FROM (SELECT date, ticker_id, round(0.8 * r - 0.2 * k, 9) AS b FROM (SELECT date, ticker_id, {sql_rank('mom_6m')} AS r, {sql_rank('ks')} AS k FROM (SELECT *, round(knife_score, 9) AS ks FROM knife)))", _KNIFE_Q, KNIFE))
@@ -450,7 +450,7 @@ def _(spark, d):
     return rounded(X.target_sector_return(L.price_panel(spark, d), "3M").select("date", "ticker_id", "y_sector_return"))
 
 
-@query("x12_target_sector_return_vol", oracle(f"SELECT p.date, ticker_id, round(s / greatest(vol_60d, f, 1e-4), 5) + 0.0 AS y_sector_return_vol FROM (SELECT *, {_gap('r_3M', 'sector', 'mask_3M')} AS s FROM panel) p JOIN (SELECT date, quantile_cont(vol_60d, 0.2) AS f FROM panel GROUP BY date) q ON p.date = q.date"))
+@query("x12_target_sector_return_vol", oracle(f"SELECT p.date, ticker_id, round(s / greatest(vol_120d, f, 1e-4), 5) + 0.0 AS y_sector_return_vol FROM (SELECT *, {_gap('r_3M', 'sector', 'mask_3M')} AS s FROM panel) p JOIN (SELECT date, quantile_cont(vol_120d, 0.2) AS f FROM panel GROUP BY date) q ON p.date = q.date"))
 def _(spark, d):
     return rounded(X.target_sector_return_vol(L.price_panel(spark, d), "3M").select("date", "ticker_id", "y_sector_return_vol"), digits=5)
 

@@ -89,6 +89,23 @@ def prepared_panel(spark, d, horizons=("1M", "3M", "6M", "1Y")) -> DataFrame:
     panel, medians = full_panel(spark, d), P.forward_medians(V.bars(spark, d)).withColumnRenamed("trade_date", "date")
     for h in horizons:
         panel = X.demean(panel, medians.filter(F.col("horizon") == h), h)
-    panel = panel.withColumn("raw_vol_60d", F.col("vol_60d"))
+    panel = panel.withColumn("vol_120d_raw", F.col("vol_120d"))
     features = [c for p in PACKS if p != "knife" for c in PACKS[p]]
-    return X.knife_score(X.rank_normalize(panel, features))
+    return X.knife_score(X.rank_normalize(panel, features), ranked=True)
+
+
+def targeted(panel: DataFrame, horizon: str, mode: str, out: str = "y") -> DataFrame:
+    """``out``: the label of a horizon, null where it has none.  Modes: return, rank, quantile, sector_return, sector_return_vol."""
+    valid = F.when(F.col(f"mask_{horizon}"), F.col(f"r_{horizon}"))
+    if mode == "return":
+        return panel.withColumn(out, valid)
+    if mode in ("rank", "quantile"):
+        made = (X.target_rank if mode == "rank" else X.target_quantile)(panel, horizon)
+        return made.withColumn(out, F.col(f"y_{mode}").cast("double")).drop(f"y_{mode}")
+    if mode == "sector_return":
+        made = X.target_sector_return(panel, horizon, "__y")
+    elif mode == "sector_return_vol":
+        made = X.target_sector_return_vol(panel, horizon, "vol_120d_raw").withColumnRenamed("y_sector_return_vol", "__y")
+    else:
+        raise ValueError(mode)
+    return made.withColumn(out, F.when(F.col(f"mask_{horizon}"), F.col("__y"))).drop("__y")

@@ -121,7 +121,7 @@ def test_no_ops(spark):
 
 def test_embargo(spark):
     folds = E.walk_forward_folds(panel(spark).select("date"), 63, 12).collect()
-    assert folds and all((f.test_date.year - f.cutoff.year) * 12 + f.test_date.month - f.cutoff.month == 4 for f in folds)
+    assert folds and all((f.test_date.year - f.cutoff.year) * 12 + f.test_date.month - f.cutoff.month == 3 for f in folds)
 
 
 def test_model_round_trip(spark, tmp_path):
