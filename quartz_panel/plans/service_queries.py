@@ -482,12 +482,6 @@ def _(spark, d):
     return M.predict(M.fit_trees(t, _FEATURES, "r_3M", seeds=2), t, _FEATURES).select("date", "ticker_id", "pred")
 
 
-@query("m07_walk_forward_ic")
-def _(spark, d):
-    out = M.walk_forward(_prepared(spark, d), _FEATURES, "r_3M", "r_3M", 63, M.fit_ridge)
-    return E.ic_summary(E.rank_ic(out, 5))
-
-
 @query("m08_single_split_compare")
 def _(spark, d):
     t, cut = _train(spark, d).cache(), F.lit("2000-06-01").cast("date")
@@ -500,16 +494,6 @@ def _(spark, d):
     return M.shuffled_labels(_train(spark, d), "r_3M", 11).groupBy("date").agg(F.count("*").alias("n"), (F.round(F.sum("r_3M"), 5) + 0.0).alias("total"))
 
 
-@query("m12_regularisation_sweep")
-def _(spark, d):
-    t, out = _train(spark, d).cache(), None
-    for alpha in (1.0, 10.0, 100.0):
-        p = M.single_split(t, _RIDGE, "r_3M", "r_3M", F.lit("2000-06-01").cast("date"), lambda a, f, y, k=alpha: M.fit_ridge(a, f, y, k))
-        s = E.ic_summary(E.rank_ic(p, 5)).withColumn("alpha", F.lit(alpha))
-        out = s if out is None else out.unionByName(s)
-    return out
-
-
 @query("m13_train_rows", oracle("SELECT date, ticker_id FROM panel WHERE mask_3M AND date < DATE '2001-01-01' AND ticker_id NOT IN (SELECT ticker_id FROM tickers WHERE user_added) AND date IN (SELECT DISTINCT date FROM panel WHERE mask_3M AND date < DATE '2001-01-01' AND ticker_id NOT IN (SELECT ticker_id FROM tickers WHERE user_added) ORDER BY date DESC LIMIT 10)"))
 def _(spark, d):
     return M.train_rows(_train(spark, d), V.tickers(spark, d), F.lit("2001-01-01").cast("date"), "r_3M", 10).select("date", "ticker_id")
