@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -514,11 +515,18 @@ def _(spark, d):
     return M.score_single(last, last, one, models=[M.fit_ridge(t, _RIDGE, "r_3M")], features=_RIDGE)
 
 
+def stream_folder(spark, name: str) -> str:
+    """A new folder for one run of a stream, in the one that driver and executors share; on ``local[...]`` alone a temporary one."""
+    if spark.sparkContext.master.startswith("local["):
+        return tempfile.mkdtemp(prefix="spark-stream-")
+    return f"{spark.conf.get('spark.checkpoint.dir')}/{name}-{uuid.uuid4().hex}"
+
+
 def _streamed(spark, d, build, mode="append", schema_of=None):
     """A file stream over the events table run to its end; the sink's rows."""
     from quartz_panel.streaming import streams as T  # noqa: F401
 
-    base = tempfile.mkdtemp(prefix="spark-stream-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{spark.sparkContext.applicationId}"
+    base = stream_folder(spark, "stream")
     source = spark.readStream.schema(V.table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     q = build(source).writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -532,7 +540,7 @@ def headline_stream(spark, d, max_files: int | None = None):
     them makes another's rows late."""
     from quartz_panel.streaming import streams as T
 
-    base = tempfile.mkdtemp(prefix="spark-stream-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/headlines-{spark.sparkContext.applicationId}"
+    base = stream_folder(spark, "headlines")
     write, read = T.upsert_sink(f"{base}/daily", ["bucket", "ticker_id", "score_date"], "headline_count")
     source = spark.readStream.schema(V.table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet")
     events = (source.option("maxFilesPerTrigger", max_files) if max_files else source).parquet(f"{d}/events.parquet*")
@@ -550,7 +558,7 @@ def _(spark, d):
 def _(spark, d):
     from quartz_panel.streaming import streams as T
 
-    base = tempfile.mkdtemp(prefix="spark-stream-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/upsert-{spark.sparkContext.applicationId}"
+    base = stream_folder(spark, "upsert")
     write, read = T.upsert_sink(f"{base}/table", ["user_id"], "ts")
     source = spark.readStream.schema(V.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").select("user_id", "ts", "value")
     source.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
