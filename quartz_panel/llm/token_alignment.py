@@ -15,6 +15,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -85,7 +86,7 @@ class ByteLevel:
     def ends(self, text: str, data: bytes) -> Ends:
         found = self.library.encode(text, add_special_tokens=False)
         ids = np.array(found.ids, np.int64)
-        spans = np.array(found.offsets, np.int64).reshape(-1, 2)
+        spans = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
         byte_at = np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), len(data))
         clean = np.append(spans[1:, 0] >= spans[:-1, 1], True) if len(ids) else np.zeros(0, bool)
         exact = b"".join(map(self.bytes.__getitem__, found.ids)) == data
@@ -109,8 +110,8 @@ class Pieces:
 
     def ends(self, text: str, data: bytes) -> Ends:
         pieces = self.library.encode(text[1:], return_type="proto").pieces
-        ids = np.array([p.id for p in pieces], np.int64)
-        spans = np.array([(p.begin, p.end) for p in pieces], np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable((p.id, p.begin, p.end) for p in pieces), np.int64, 3 * len(pieces)).reshape(-1, 3)
+        ids, spans = found[:, 0], found[:, 1:]
         exact = b"".join(map(self.bytes.__getitem__, ids.tolist())) == data
         return Ends(ids, refined(ids, self.lengths, spans[:, 1] + 1, spans[:, 1] > spans[:, 0]), exact)
 
@@ -120,7 +121,7 @@ class Stretches:
 
     ``most`` characters are remembered at most, besides those of the texts in hand; then it starts anew."""
 
-    def __init__(self, a_path: str, b_path: str, most: int = 6 << 20):
+    def __init__(self, a_path: str, b_path: str, most: int = 24 << 20):
         self.a, self.b, self.most = ByteLevel(a_path), Pieces(b_path), most
         self.whole = not (self.a.parts_at_spaces and self.b.parts_at_spaces)
         self.shown = [f"{k}{end}" for n, ends in ((self.a.size, ",|"), (self.b.size, ",;")) for end in ends for k in range(n)]
@@ -136,7 +137,9 @@ class Stretches:
 
     def split(self, text: str) -> Iterator[str]:
         text = " " + text
-        return iter([text]) if self.whole else (m.group() for m in _STRETCH.finditer(text))
+        if self.whole:
+            return iter([text])
+        return iter(_STRETCH.findall(text)) if len(text) < 1 << 20 else (m.group() for m in _STRETCH.finditer(text))
 
     def learn(self, stretches: set[str]) -> None:
         """Stretches are joined into long texts for one call of each library; those that end in white space stay alone, as more text would change them."""
@@ -230,15 +233,16 @@ def _slices(texts: list, of: Stretches, most: int) -> Iterator[list[tuple[int, l
         if not text:
             group.append((row, [], True))
             continue
-        part: list[str] = []
-        for s in of.split(text):
-            part.append(s)
-            size += 1 + len(s) // 64
-            if size >= most:
-                group.append((row, part, False))
-                yield group
-                group, part, size = [], [], 0
+        found, room = of.split(text), max(1, (most - size))
+        while len(part := list(islice(found, room))) == room:  # as many as the group has room for: it is full
+            group.append((row, part, False))
+            yield group
+            group, size, room = [], 0, most
         group.append((row, part, True))
+        size += len(part) + len(text) // 64
+        if size >= most:
+            yield group
+            group, size = [], 0
     yield group
 
 
