@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, broadcast_if_below, written
 from .textops import mix, signed
 
 #: place: first window << SPAN_BITS | windows after it; one number, as these rows are the bulk of what is shuffled
@@ -107,6 +107,21 @@ def with_ranges(texts: DataFrame, ranges: DataFrame, most_broadcast_bytes: int,
     return hit if inner else hit.unionByName(texts.join(ids, "doc_id", "left_anti").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType)))
 
 
+def settled(docs: DataFrame, most_broadcast_bytes: int) -> DataFrame:
+    """doc_id, text and the other columns of ``docs`` with ``own``, the doc_id as it was.
+
+    Where different texts share a doc_id, that of the smallest hash keeps it; each other text gets a doc_id of its own, made of both and
+    behind usual ones, so that it counts as a later document.  Equal texts of one doc_id stay one document."""
+    text, own = F.xxhash64(F.coalesce("text", F.lit(""))), F.col("doc_id")
+    shared = written(docs.filter("doc_id is not null").select("doc_id", text.alias("h")).groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select(own.alias("shared_id"), "lo"), "shared-ids")
+    rows = docs.withColumn("own", own)
+    if shared.isEmpty():
+        return rows
+    rows = rows.join(broadcast_if_below(shared, 32, most_broadcast_bytes), own == F.col("shared_id"), "left")
+    other = F.xxhash64("doc_id", text, F.lit("own document")).bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))
+    return rows.withColumn("doc_id", F.when(F.col("lo") != text, other).otherwise(own)).drop("shared_id", "lo")
+
+
 def repeated_windows(docs: DataFrame, anchors: Callable, windows: Callable, keep_first: bool, most_broadcast_bytes: int, blocks: Callable | None = None) -> DataFrame:
     """doc_id, ranges of windows that occur again; with ``keep_first``, of those that occur earlier
     (smaller doc_id, or the same and an earlier start).  Rows that repeat a doc_id count once.

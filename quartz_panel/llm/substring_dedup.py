@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .repeats import RANGES, covered, pieces, repeated_windows, rows_of, window_rows, with_ranges
+from .repeats import RANGES, covered, pieces, repeated_windows, rows_of, settled, window_rows, with_ranges
 from .textops import Rolling, mix, text_chunks, word_hashes, words
 
 FAR = np.int64(1) << 40
@@ -177,14 +177,15 @@ def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 6, most_bro
     A word goes if a window of ``window`` consecutive words of its document covers it whose words also
     start earlier: in a smaller doc_id, or in the same document.  Windows are judged on the input.  With
     ``as_is`` a text that loses nothing is kept with its own white space.  A null or empty text has no
-    words and an empty kept_text.  Texts of any length are taken whole; anchors of long ones are found in parts.  Rows that repeat a doc_id get equal results, as one document; a row
+    words and an empty kept_text.  Texts of any length are taken whole; anchors of long ones are found in parts.  Rows that repeat a doc_id and its text get equal results, as one
+    document; of different texts under one doc_id that of the smallest hash stands there, the others are documents behind all usual ids.  A row
     with a null doc_id is only compared with itself word by word (its runs of one word go).  An empty
     table gives an empty result.
     """
-    ranges = removed_windows(docs, window, rounds, most_broadcast_bytes)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select("doc_id", "text", F.struct(*(others or [F.lit(0).alias("none")])).alias("carried"))
-    rows = with_ranges(rows, ranges, most_broadcast_bytes).select("doc_id", "text", "ranges", "carried")
+    rows = settled(docs.select("doc_id", "text", F.struct(*(others or [F.lit(0).alias("none")])).alias("carried")), most_broadcast_bytes)
+    ranges = removed_windows(rows, window, rounds, most_broadcast_bytes)
+    rows = with_ranges(rows, ranges, most_broadcast_bytes).select(F.col("own").alias("doc_id"), "text", "ranges", "carried")
     schema = T.StructType([*T._parse_datatype_string(f"doc_id long, n_words long, n_removed long, {RANGES.replace('ranges', 'removed')}, kept_text string").fields, T.StructField("carried", rows.schema["carried"].dataType)])
     out = rows.mapInArrow(lambda b: _kept(b, window, as_is), schema)
     return out if others else out.drop("carried")

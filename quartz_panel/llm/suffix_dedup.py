@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .repeats import RANGES, covered, pieces, repeated_windows, rows_of, window_rows, with_ranges
+from .repeats import RANGES, covered, pieces, repeated_windows, rows_of, settled, window_rows, with_ranges
 from .substring_dedup import _whole
 from .textops import Rolling, byte_values, mix, text_chunks
 
@@ -150,10 +151,11 @@ def suffix_dedup(docs: DataFrame, window: int = 200, gram: int = 50, block: int
     """doc_id, n_bytes, removed (ranges of bytes), kept (the other bytes; they need not be UTF-8).
 
     A byte goes if a string of ``window`` bytes of its document covers it that also starts at another
-    place, in any document; overlaps count.  Null texts are empty.  Rows that repeat a doc_id count as
-    one document and get equal results; a row with a null doc_id is compared with nothing but its own
+    place, in any document; overlaps count.  Null texts are empty.  Rows that repeat a doc_id and its
+    text count as one document and get equal results; different texts under one doc_id are documents of their own; a row with a null doc_id is compared with nothing but its own
     runs of one byte.  An empty table gives an empty result; other columns are ignored.
     """
-    ranges = repeated_windows(docs, lambda b: _anchors(b, window, gram), lambda b: _windows(b, window), False, most_broadcast_bytes, lambda b: _blocks(b, window, gram, block))
-    rows = with_ranges(docs.select("doc_id", "text"), ranges, most_broadcast_bytes).select("doc_id", "text", "ranges")
+    rows = settled(docs.select("doc_id", "text"), most_broadcast_bytes)
+    ranges = repeated_windows(rows, lambda b: _anchors(b, window, gram), lambda b: _windows(b, window), False, most_broadcast_bytes, lambda b: _blocks(b, window, gram, block))
+    rows = with_ranges(rows, ranges, most_broadcast_bytes).select(F.col("own").alias("doc_id"), "text", "ranges")
     return rows.mapInArrow(lambda b: _kept(b, window), f"doc_id long, n_bytes long, {RANGES.replace('ranges', 'removed')}, kept binary")
