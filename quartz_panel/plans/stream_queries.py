@@ -10,6 +10,7 @@ from quartz_panel.operators.serve import latest
 from quartz_panel.sources import views as V
 from quartz_panel.streaming import stateful as S
 from quartz_panel.streaming import streams as T
+from quartz_panel.streaming.bar_table import BarTable
 
 from .evaluation_queries import _EWMA, RANKS, VIEWS, _ranked
 from .factor_queries import oracle, rounded
@@ -37,11 +38,12 @@ def quote_stream(spark, folder: str, schema, base: str, closes, ttl: int, late:
 
 @query(
     "t03_quote_stream",
-    oracle(f"SELECT e.user_id AS ticker_id, round(CASE WHEN fresh THEN e.value ELSE c.adj_close END, 4) AS price, NOT fresh AS stale FROM (SELECT user_id, arg_max(value, (ts, event_id)) AS value, epoch_ms(max(ts)) + {TTL * 1000} > (SELECT epoch_ms(max(ts)) FROM events) AS fresh FROM events GROUP BY user_id) e LEFT JOIN last_close c ON c.ticker_id = e.user_id", LAST),
+    oracle(f"SELECT e.user_id AS ticker_id, round(CASE WHEN fresh THEN e.value ELSE c.adj_close END * 1.0000001::DOUBLE, 4) AS price, NOT fresh AS stale FROM (SELECT user_id, arg_max(value, (ts, event_id)) AS value, epoch_ms(max(ts)) + {TTL * 1000} > (SELECT epoch_ms(max(ts)) FROM events) AS fresh FROM events GROUP BY user_id) e LEFT JOIN last_close c ON c.ticker_id = e.user_id", LAST),
 )
 def _(spark, d):
     closes = latest(V.bars(spark, d), "ticker_id", "trade_date", ["adj_close"])
-    return rounded(quote_stream(spark, f"{d}/events.parquet*", V.table(spark, d, "events").schema, stream_folder(spark, "quotes"), closes, TTL), digits=4)
+    out = quote_stream(spark, f"{d}/events.parquet*", V.table(spark, d, "events").schema, stream_folder(spark, "quotes"), closes, TTL)
+    return rounded(out.withColumn("price", F.col("price") * 1.0000001), digits=4)  # a nudge off the ties of rounding
 
 
 def late_files(ranks, folder: str, months: int = 6) -> None:
@@ -67,3 +69,26 @@ def _(spark, d):
     ranks = _ranked(spark, d).select("ticker_id", F.lit("3M").alias("horizon"), "date", "rank")
     late_files(ranks, f"{base}/in")
     return rounded(smoothed_stream(spark, f"{base}/in", ranks.schema, base, 3, "400 days").select("ticker_id", "date", "smooth"))
+
+
+def bar_stream(spark, folder: str, table: BarTable, base: str) -> None:
+    """Bar files in their order, one for each batch, into the table."""
+    bars = spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(folder)
+    bars.writeStream.foreachBatch(table.write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+@query(
+    "t02_bar_drift_stream",
+    oracle("""SELECT b.ticker_id, trade_date, round(adj_close * CASE WHEN b.ticker_id % 3 = 0 AND (drifted OR trade_date >= DATE '1999-12-01') THEN 1.01::DOUBLE ELSE 1 END * 1.0000001::DOUBLE, 2) AS adj_close, coalesce(drifted, false) AS drifted
+  FROM bars b LEFT JOIN (SELECT DISTINCT ticker_id, ticker_id % 3 = 0 AS drifted FROM bars WHERE trade_date >= DATE '1999-12-01' AND trade_date < DATE '2000-01-01') o ON b.ticker_id = o.ticker_id"""),
+)
+def _(spark, d):
+    """Bars to the end of 1999, then those from December on with every third name re-adjusted by a hundredth: its whole history follows."""
+    base, bars = stream_folder(spark, "bars"), cut(V.bars(spark, d).select("ticker_id", "trade_date", "adj_close", "volume"))
+    moved = bars.withColumn("adj_close", F.col("adj_close") * F.when(F.col("ticker_id") % 3 == 0, 1.01).otherwise(1.0))
+    for part in (bars.filter("trade_date < date'2000-01-01'"), moved.filter("trade_date >= date'1999-12-01'")):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    table = BarTable(f"{base}/table", bars.schema, 16, history=lambda names: moved.join(names, "ticker_id", "left_semi"))
+    bar_stream(spark, f"{base}/in", table, base)
+    out = table.read(spark).join(table.drifted(spark), "ticker_id", "left")
+    return rounded(out.select("ticker_id", "trade_date", (F.col("adj_close") * 1.0000001).alias("adj_close"), F.coalesce("drifted", F.lit(False)).alias("drifted")), digits=2)
