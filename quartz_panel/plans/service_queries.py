@@ -14,6 +14,7 @@ from quartz_panel.operators import models as M
 from quartz_panel.operators import price as P
 from quartz_panel.operators import sentiment as N
 from quartz_panel.operators import serve as R
+from quartz_panel.operators.cut import cut
 from quartz_panel.sources import ingest as G
 from quartz_panel.sources import views as V
 
@@ -460,7 +461,7 @@ def _train(spark, d):
 
 @query(
     "m06_ridge",
-    oracle("""SELECT round((sxy1 * (sx22 + 10) - sxy2 * sx12) / det, 4) + 0.0 AS b_mom, round((sxy2 * (sx11 + 10) - sxy1 * sx12) / det, 4) + 0.0 AS b_vol FROM (SELECT *, (sx11 + 10) * (sx22 + 10) - sx12 * sx12 AS det FROM (
+    RIDGE_SQL := oracle("""SELECT round((sxy1 * (sx22 + 10) - sxy2 * sx12) / det, 4) + 0.0 AS b_mom, round((sxy2 * (sx11 + 10) - sxy1 * sx12) / det, 4) + 0.0 AS b_vol FROM (SELECT *, (sx11 + 10) * (sx22 + 10) - sx12 * sx12 AS det FROM (
   SELECT covar_pop(x1, y) * count(*) AS sxy1, covar_pop(x2, y) * count(*) AS sxy2, var_pop(x1) * count(*) AS sx11, var_pop(x2) * count(*) AS sx22, covar_pop(x1, x2) * count(*) AS sx12 FROM (SELECT round(mom_6m, 8) AS x1, round(vol_60d, 8) AS x2, round(r_3M, 8) AS y FROM panel WHERE mask_3M)))"""),
 )
 def _(spark, d):
@@ -469,6 +470,19 @@ def _(spark, d):
     return _train(spark, d).limit(1).select((F.round(F.lit(float(m.coefficients[0])), 4) + 0.0).alias("b_mom"), (F.round(F.lit(float(m.coefficients[1])), 4) + 0.0).alias("b_vol"))
 
 
+@query("m16_model_artefact", f"SELECT b_mom, b_vol, true AS same_digest, true AS told_apart, 0.0::DOUBLE AS gap, '3M' AS horizon FROM ({RIDGE_SQL})")
+def _(spark, d):
+    """A ridge saved twice and read back: its coefficients, whether both digests agree and other settings' differ, and the largest difference of a prediction."""
+    t, base = cut(_train(spark, d)), stream_folder(spark, "model")
+    m = M.fit_ridge(t, _RIDGE, "r_3M")
+    one, two, other = (M.save_model(spark, m, {"horizon": "3M", "alpha": a}, f"{base}/{k}") for k, a in (("a", 10.0), ("b", 10.0), ("c", 1.0)))
+    again, spec = M.load_model(spark, f"{base}/b")
+    x, y = (M.predict([model], t, _RIDGE).select("date", "ticker_id", F.col("pred").alias(c)) for model, c in ((m, "x"), (again, "y")))
+    gap = x.join(y, ["date", "ticker_id"]).agg(F.max(F.abs(F.col("x") - F.col("y"))).alias("gap"))
+    b = [F.round(F.lit(float(v)), 4) + 0.0 for v in again.coefficients]
+    return gap.select(b[0].alias("b_mom"), b[1].alias("b_vol"), F.lit(one == two).alias("same_digest"), F.lit(one != other).alias("told_apart"), "gap", F.lit(spec["horizon"]).alias("horizon"))
+
+
 #: the features of the prepared panel
 _FEATURES = [c for p in L.PACKS if p != "knife" for c in L.PACKS[p]]
 

@@ -132,6 +132,19 @@ def test_model_round_trip(spark, tmp_path):
     assert spec == {"target": "r"} and list(again.coefficients) == list(m.coefficients)
 
 
+def test_model_digest_is_of_the_content(spark, tmp_path):
+    p = panel(spark, 1.0)
+    m, n = M.fit_ridge(p, ["x"], "r"), M.fit_ridge(p, ["x"], "r", 1000.0)
+    a, b, c, d = (M.save_model(spark, model, {"target": t}, str(tmp_path / k)) for k, model, t in (("a", m, "r"), ("b", m, "r"), ("c", n, "r"), ("d", m, "s")))
+    assert a == b and len({a, c, d}) == 3
+    assert M.save_model(spark, M.load_model(spark, str(tmp_path / "a"))[0], {"target": "r"}, str(tmp_path / "e")) == a
+    trees = M.fit_trees(p, ["x"], "r", rounds=2)[0]
+    assert M.save_model(spark, trees, {}, str(tmp_path / "t")) == M.save_model(spark, trees, {}, str(tmp_path / "u")) != a
+    spark.createDataFrame([('{"target": "changed"}',)], "spec string").coalesce(1).write.mode("overwrite").json(str(tmp_path / "b" / "spec"))
+    with pytest.raises(ValueError, match="saved"):
+        M.load_model(spark, str(tmp_path / "b"))
+
+
 @pytest.mark.parametrize("name", ["w01_bar_index", "a01_month_end_grid", "j08_forward_asof", "w18_ttm", "s04_upsert", "s08_filings_from_facts", "s13_table_rows", "w21_rolling_sentiment", "w27_forward_targets", "q06_job_status", "a12_bar_coverage", "t02_bar_upsert_stream", "e00_top_momentum"])
 def test_query_against_duckdb(spark, name):
     d = "/root/testdata/sf0.001"
