@@ -24,15 +24,25 @@ def asof_join(
     non-null value of its own.  Beyond ``tolerance_days`` the row counts as missing.  Missing is null;
     right rows whose columns are all null still match.  Left columns must not clash with ``columns``.
     """
+    return resolved(timeline(left, right, by, left_on, right_on, columns, tie, forward), by, columns, per_column, forward, tolerance_days)
+
+
+def timeline(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, columns: list[str], tie: list[str] | None = None, forward: bool = False) -> DataFrame:
+    """Both sides as rows of one table.  Stored in buckets by key, it is resolved any number of times without a shuffle."""
     both = F.struct(*(F.col(c) for c in columns), F.col(right_on).alias("__on"))
     tie = tie or []
     kinds = dict(right.dtypes)
     r = right.select(*by, F.col(right_on).alias("__ts"), F.lit(1 if forward else 0).alias("__side"), *(F.col(c).alias(f"__t{i}") for i, c in enumerate(tie)), both.alias("__r"), F.lit(None).cast(left.select(F.struct("*").alias("s")).dtypes[0][1]).alias("__l"))
     l = left.select(*by, F.col(left_on).alias("__ts"), F.lit(0 if forward else 1).alias("__side"), *(F.lit(None).cast(kinds[c]).alias(f"__t{i}") for i, c in enumerate(tie)), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), F.struct(*(F.col(c) for c in left.columns)).alias("__l"))
-    w = Window.partitionBy(*by).orderBy("__ts", "__side", *(f"__t{i}" for i in range(len(tie))))
+    return l.unionByName(r)
+
+
+def resolved(rows: DataFrame, by: list[str], columns: list[str], per_column: bool = False, forward: bool = False, tolerance_days: int | None = None) -> DataFrame:
+    """The as-of join of a ``timeline``: one window by key."""
+    ties = [c for c in rows.columns if c.startswith("__t") and c != "__ts"]
+    w = Window.partitionBy(*by).orderBy("__ts", "__side", *ties)
     w = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
     pick = F.first if forward else F.last
-    rows = l.unionByName(r)
     if per_column:
         rows = rows.select("*", *(pick(F.col("__r")[c], ignorenulls=True).over(w).alias(f"__c{i}") for i, c in enumerate(columns)))
         return rows.filter("__l is not null").select("__l.*", *(F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)))
