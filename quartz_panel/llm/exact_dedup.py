@@ -98,14 +98,17 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", digest=sha256_digest, mo
 
 
 def deduplicated(docs: DataFrame, keep: str = "largest", most_broadcast_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat a doc_id and an equal text one stays."""
-    spark = docs.sparkSession
-    judged = written(exact_dedup(docs, keep).filter("group_size > 1").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest"), "kept"), "digest-judged")
-    gone = judged.filter("not kept").select("__gone", "__digest").distinct()
-    same = lambda t: docs["doc_id"].eqNullSafe(t["__gone"]) & (sha256_digest(normalised(docs["text"])) == t["__digest"])
-    twice = written(judged.filter("kept").groupBy("__gone", "__digest").count().filter("count > 1").select("__gone", "__digest"), "digest-twice")
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; of rows that repeat a doc_id and an equal text one stays."""
+    judged = written(exact_dedup(docs, keep).filter("group_size > 1").select(F.col("doc_id").alias("id"), "digest", "kept"), "digest-judged")
+    gone = judged.filter("not kept").select("id", "digest").distinct()
+    norm = normalised(F.col("text"))
+    # the columns travel in a struct, so that none of them meets a name used here
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), sha256_digest(norm).alias("digest"))
+    same = lambda t: rows["id"].eqNullSafe(t["id"]) & (rows["digest"] == t["digest"])
+    twice = written(judged.filter("kept").groupBy("id", "digest").count().filter("count > 1").select("id", "digest"), "digest-twice")
+    whole = lambda df: df.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
     if twice.isEmpty():
-        return docs.join(broadcast_if_below(gone, 96, most_broadcast_bytes), same(gone), "left_anti")
-    once = docs.join(gone.union(twice), same(gone), "left_anti")
-    again = docs.join(twice, same(twice), "left_semi").withColumn("__norm", normalised(F.col("text")))
-    return once.unionByName(again.dropDuplicates(["doc_id", "__norm"]).select(*once.columns))
+        return whole(rows.join(broadcast_if_below(gone, 96, most_broadcast_bytes), same(gone), "left_anti"))
+    once = rows.join(gone.union(twice), same(gone), "left_anti")
+    again = rows.join(twice, same(twice), "left_semi").withColumn("norm", normalised(F.col("row").getField("text")))
+    return whole(once).unionByName(whole(again.dropDuplicates(["id", "norm"])))

@@ -21,6 +21,13 @@ from pyspark.sql import functions as F
 
 from .textops import mix
 
+#: Cells (languages x buckets) of the score table: with more languages than fit at the asked number of bits, grams share buckets.
+MOST_CELLS = 1 << 24
+LEAST_BITS = 8
+#: Languages whose counts a task holds at once, and cells of word scores that a task makes at once.
+HELD_LANGUAGES = 64
+WORD_CELLS = 1 << 22
+
 #: First code points of ranges, and the script of each range.
 RANGES = [
     (0x0, "other"), (0x41, "latin"), (0x5B, "other"), (0x61, "latin"), (0x7B, "other"), (0xAA, "latin"), (0xAB, "other"), (0xB5, "latin"), (0xB6, "other"), (0xBA, "latin"),
@@ -109,32 +116,46 @@ def held_out(doc_id: Column) -> Column:
 
 def _gram_counts(batches: Iterator[pa.RecordBatch], bits: int, group: int = 400) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
+
+    def flushed():
+        for lang, held in counts.items():
+            at = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(held[at], pa.int64())], names=["lang", "bucket", "n"])
+        counts.clear()
+
     for batch in batches:
         for lo in range(0, batch.num_rows, group):
             langs = batch.column(0).slice(lo, group).to_pylist()
             texts = [t or "" for t in batch.column(1).slice(lo, group).to_pylist()]
             for lang in sorted(set(langs)):
+                if lang not in counts and len(counts) == HELD_LANGUAGES:
+                    yield from flushed()
                 script, _, _, _, grams, _ = _letters([t for x, t in zip(langs, texts, strict=True) if x == lang], bits)
                 held = counts.setdefault(lang, np.zeros((1 << bits) + len(SCRIPTS), np.int64))
                 held[: 1 << bits] += np.bincount(grams, minlength=1 << bits)
                 held[1 << bits :] += np.bincount(script, minlength=len(SCRIPTS))
-    for lang, held in counts.items():
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(held[at], pa.int64())], names=["lang", "bucket", "n"])
+    yield from flushed()
+
 
+def table_bits(n_languages: int, bits: int) -> int:
+    """The asked bits while the table stays within MOST_CELLS (512 languages at 15 bits); fewer for more languages, never under LEAST_BITS."""
+    while bits > LEAST_BITS and n_languages << bits > MOST_CELLS:
+        bits -= 1
+    return bits
 
-def train(docs: DataFrame, bits: int = 15, most_languages: int = 64) -> Model:
-    """Counts over all rows of ``docs`` whose lang isn't null; the driver gets at most most_languages x (2**bits + scripts) numbers.
 
-    Raises when there are more languages than that.  Without rows the model knows no language."""
+def train(docs: DataFrame, bits: int = 15) -> Model:
+    """Counts over all rows of ``docs`` whose lang isn't null; the driver gets at most languages x (2**bits + scripts) numbers.
+
+    Any number of languages is learned; see ``table_bits`` for the table's size.  Without rows the model knows no language."""
+    languages = sorted(r[0] for r in docs.filter("lang is not null").select("lang").distinct().collect())
+    bits = table_bits(len(languages), bits)
     counts = docs.filter("lang is not null").select("lang", "text").mapInArrow(lambda b: _gram_counts(b, bits), "lang string, bucket int, n long")
-    languages = sorted(r[0] for r in docs.filter("lang is not null").select("lang").distinct().limit(most_languages + 1).collect())
-    if len(languages) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
     table = np.zeros(((1 << bits) + len(SCRIPTS), len(languages)))
     got = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     if got.num_rows:
-        column = np.array([languages.index(x) for x in got["lang"].unique().to_pylist()])[got["lang"].dictionary_encode().combine_chunks().indices.to_numpy(zero_copy_only=False)]
+        place = {x: i for i, x in enumerate(languages)}
+        column = np.array([place[x] for x in got["lang"].unique().to_pylist()])[got["lang"].dictionary_encode().combine_chunks().indices.to_numpy(zero_copy_only=False)]
         table[got["bucket"].to_numpy(), column] = got["n"].to_numpy()
     grams, scripts = table[: 1 << bits], table[1 << bits :]
     likely = np.log((grams + 0.5) / (grams.sum(0) + 0.5 * len(grams)))
@@ -148,7 +169,7 @@ def viterbi(scores: np.ndarray, text_of: np.ndarray, n_texts: int, penalty: floa
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
     steps, k = int(size.max(initial=0)), scores.shape[1]
-    back = np.zeros((len(scores), k), np.int16)
+    back = np.zeros((len(scores), k), np.int16 if k < 1 << 15 else np.int32)
     value = np.zeros((n_texts, k), np.float64)
     live = np.searchsorted(-size[order], -np.arange(steps), "left")  # texts with more than t words
     same = np.arange(k)
@@ -161,7 +182,7 @@ def viterbi(scores: np.ndarray, text_of: np.ndarray, n_texts: int, penalty: floa
         stay = v >= top
         back[word] = np.where(stay, same, best[:, None])
         value[at] = np.where(stay, v, top) + scores[word]
-    out = np.zeros(len(scores), np.int16)
+    out = np.zeros(len(scores), back.dtype)
     now = value.argmax(1)
     for t in range(steps - 1, -1, -1):
         at = order[: live[t]]
@@ -171,9 +192,23 @@ def viterbi(scores: np.ndarray, text_of: np.ndarray, n_texts: int, penalty: floa
     return out
 
 
+def _word_scores(model: Model, grams: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Each word's score by language, a stretch of words at a time, so that the letters' scores aren't all held at once."""
+    ends = np.cumsum(size)
+    out = np.empty((len(size), len(model.languages)))
+    lo, step = 0, max(1, WORD_CELLS // len(model.languages))
+    while lo < len(size):
+        first = ends[lo] - size[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, first + step, "right")))
+        out[lo:hi] = np.add.reduceat(model.scores[grams[first : ends[hi - 1]]], ends[lo:hi] - size[lo:hi] - first, axis=0)
+        lo = hi
+    return out
+
+
 def _labelled(batches: Iterator[pa.RecordBatch], model: Model, penalty: float, spans: bool, group: int = 200) -> Iterator[pa.RecordBatch]:
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
     k = len(model.languages)
+    group = max(1, min(group, 64 * group // max(k, 1)))
     for batch in batches:
         for lo in range(0, batch.num_rows, group):
             texts = [t or "" for t in batch.column(1).slice(lo, group).to_pylist()]
@@ -181,8 +216,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], model: Model, penalty: float, s
             script, text_of, _, _, grams, size = _letters(texts, model.bits)
             found, score, runs = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
             if k and len(size):
-                ends = np.cumsum(size)
-                words = np.add.reduceat(model.scores[grams], ends - size, axis=0).astype(np.float64)
+                words = _word_scores(model, grams, size)
                 fits = model.allowed[script]
                 words -= 50.0 * (~fits & fits.any(1, keepdims=True))
                 label = viterbi(words, text_of, n, penalty)
