@@ -36,7 +36,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id.  Texts without a word and rows without a doc_id stay."""
     gone = written(ngram_jaccard_join(docs, NEAR).filter("doc_id <> component_id").select("doc_id").distinct(), "near-gone")
-    return docs.join(broadcast_if_below(gone, 32, 8 << 20), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(broadcast_if_below(gone, 32, 8 << 20), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
