@@ -23,11 +23,11 @@ def rank01(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.col(value).isNotNull(), F.when(n < 2, 0.5).otherwise((average_rank(value, *by) - 1) / F.greatest(n - 1, F.lit(1)))))
 
 
-def rank_normalize(panel: DataFrame, columns: list[str], relative: tuple[str, ...] = (), min_group: int = 5) -> DataFrame:
+def rank_normalize(panel: DataFrame, columns: list[str], relative: tuple[str, ...] = (), min_group: int = 5, relative_columns: tuple[str, ...] | None = None) -> DataFrame:
     """Each column ranked to [-1, 1] within a date, ties averaged; a name alone is 0.
 
     All columns are melted and ranked by one window over (date, feature) and pivoted back.  ``relative``
-    groups (sector, then industry) of ``min_group`` names or more re-rank within (date, group)."""
+    groups (sector, then industry) of ``min_group`` names or more re-rank ``relative_columns`` (default: all) within (date, group)."""
     keys = ["date", "ticker_id", *relative]
     long = panel.select(*keys, *(F.col(c).cast("double") for c in columns)).unpivot(keys, columns, "feature", "v")
     for group in ((), *((g,) for g in relative)):
@@ -35,7 +35,8 @@ def rank_normalize(panel: DataFrame, columns: list[str], relative: tuple[str, ..
         n = counted("v", *by)
         scaled = F.when(n < 2, 0.0).otherwise(2 * (average_rank("v", *by) - 1) / F.greatest(n - 1, F.lit(1)) - 1)
         if group:
-            scaled = F.when(F.col(group[0]).isNotNull() & (n >= min_group), scaled).otherwise(F.col("v"))
+            whose = F.lit(True) if relative_columns is None else F.col("feature").isin(*relative_columns)
+            scaled = F.when(whose & F.col(group[0]).isNotNull() & (n >= min_group), scaled).otherwise(F.col("v"))
         long = long.withColumn("v", F.when(F.col("v").isNotNull(), scaled))
     wide = long.groupBy("date", "ticker_id").pivot("feature", columns).agg(F.first("v"))
     return panel.drop(*columns).join(wide, ["date", "ticker_id"])

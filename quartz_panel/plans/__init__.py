@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("factor_queries", "evaluation_queries", "service_queries", "walk_queries", "stream_queries", "intake_queries")
+MODULES = ("factor_queries", "evaluation_queries", "service_queries", "walk_queries", "stream_queries", "intake_queries", "panel_queries", "production_queries")
 
 
 def _load():

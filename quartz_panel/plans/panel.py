@@ -34,6 +34,8 @@ PACKS = {
     "eps_dispersion": ("eps_dispersion",),
     "short_interest": ("short_ratio",),
 }
+#: Packs whose features may be ranked within sector and industry.
+RELATIVE_PACKS = ("price", "fundamental", "valuation", "quality")
 DEFAULT_PACKS = ("price", "fundamental", "available", "sentiment")
 #: The production choice of target and settings by horizon.
 HORIZON_SPECS = {
@@ -84,14 +86,26 @@ def full_panel(spark, d) -> DataFrame:
     return cut(X.group_median_gap(panel, "mom_12_1", "industry", "industry_neutral_mom_12_1"))
 
 
-def prepared_panel(spark, d, horizons=("1M", "3M", "6M", "1Y")) -> DataFrame:
+def all_features() -> list[str]:
+    """Every feature that is ranked: all packs but the knife score, which is made of ranks."""
+    return [c for p in PACKS if p != "knife" for c in PACKS[p]]
+
+
+def prepared_panel(spark, d, horizons=("1M", "3M", "6M", "1Y"), industry_relative: bool = False) -> DataFrame:
     """The panel ready to fit: demeaned returns, ranked features, knife score."""
-    panel, medians = full_panel(spark, d), P.forward_medians(V.bars(spark, d)).withColumnRenamed("trade_date", "date")
+    return prepared(full_panel(spark, d), P.forward_medians(V.bars(spark, d)), horizons, industry_relative)
+
+
+def prepared(panel: DataFrame, medians: DataFrame, horizons=("1M", "3M", "6M", "1Y"), industry_relative: bool = False) -> DataFrame:
+    """``panel`` with returns less their date's median (trade_date, horizon, median), features ranked to [-1, 1], raw vol_120d kept, knife score added.
+
+    ``industry_relative``: features of RELATIVE_PACKS are ranked anew within their sector, then within their industry, where the group has five names or more."""
+    medians = medians.withColumnRenamed("trade_date", "date")
     for h in horizons:
         panel = X.demean(panel, medians.filter(F.col("horizon") == h), h)
     panel = panel.withColumn("vol_120d_raw", F.col("vol_120d"))
-    features = [c for p in PACKS if p != "knife" for c in PACKS[p]]
-    return X.knife_score(X.rank_normalize(panel, features), ranked=True)
+    groups = ("sector", "industry") if industry_relative else ()
+    return X.knife_score(X.rank_normalize(panel, all_features(), groups, relative_columns=tuple(feature_columns(base=RELATIVE_PACKS))), ranked=True)
 
 
 def targeted(panel: DataFrame, horizon: str, mode: str, out: str = "y") -> DataFrame:

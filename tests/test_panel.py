@@ -145,7 +145,7 @@ def test_model_digest_is_of_the_content(spark, tmp_path):
         M.load_model(spark, str(tmp_path / "b"))
 
 
-@pytest.mark.parametrize("name", ["w01_bar_index", "a01_month_end_grid", "j08_forward_asof", "w18_ttm", "s04_upsert", "s08_filings_from_facts", "s13_table_rows", "w21_rolling_sentiment", "w27_forward_targets", "q06_job_status", "a12_bar_coverage", "t02_bar_upsert_stream", "e00_top_momentum"])
+@pytest.mark.parametrize("name", ["w01_bar_index", "a01_month_end_grid", "j08_forward_asof", "w18_ttm", "s04_upsert", "s08_filings_from_facts", "s13_table_rows", "w21_rolling_sentiment", "w27_forward_targets", "q06_job_status", "a12_bar_coverage", "t02_bar_upsert_stream", "e00_top_momentum", "x05_industry_relative", "x01_full_panel", "m13_horizon_models", "m14_horizon_scores"])
 def test_query_against_duckdb(spark, name):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
