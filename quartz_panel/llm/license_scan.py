@@ -1,8 +1,9 @@
 """Licence scans: templates with optional and replaceable regions, compiled into token automata.
 
 Markup: ``[[ ... ]]`` encloses wording that a text may leave out, ``{{n}}`` stands for up to n words
-of any kind (a name, a year, a version).  The rest is mandatory and must stand word for word, in
-order and without other words between.  A template compiles into an automaton whose states are places
+of any kind (a name, a year, a version), ``{{a|b}}`` for one of the words named.  The rest is mandatory
+and must stand word for word, in order and without other words between.  A run that follows one of
+NEGATIONS within two words is no acceptance ("not licensed under the mit license").  A template compiles into an automaton whose states are places
 between tokens; optional regions and replaceable words are skips from one state to a later one.  All
 states that a text can be in are carried along, so nothing is tried twice; the longest acceptance wins.
 The first mandatory word of each template starts the scan, so other texts cost one search.
@@ -32,12 +33,15 @@ TEMPLATES = {
     "gpl-notice": "[[this {{1}} is]] licensed under [[the terms of]] the gnu [[lesser]] [[affero]] general public license [[version {{2}}]] [[or any later version]]",
     "gpl-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "cc-by-nc": "licensed under [[a]] [[creative commons]] [[cc]] by nc [[{{2}}]]",
-    "cc-by": "licensed under [[a]] [[creative commons]] [[cc]] by [[4 0]]",
+    **{f"cc-by{k}": f"licensed under [[a]] [[the]] [[creative commons]] cc by{k.replace('-', ' ')} {{{{1|2|3|4}}}} {{{{0|5}}}}" for k in ("", "-sa", "-nd", "-nc", "-nc-sa", "-nc-nd")},
+    "cc-attribution": "licensed under [[a]] [[the]] creative commons attribution {{1|2|3|4}} {{0|5}} [[international]] [[unported]] [[generic]] license",
     "rights-reserved": "copyright {{6}} all rights reserved",
-    "public-domain": "[[this {{1}} is]] [[released]] [[dedicated]] [[in]] [[to]] the public domain",
+    "public-domain": "this {{2}} is [[hereby]] [[released]] [[dedicated]] [[placed]] {{in|into|to}} the public domain",
 }
 
+#: A notice after one of these words says what a text is not under.
+NEGATIONS = {b"not", b"never", b"nor", b"neither", b"isn", b"aren", b"wasn"}
+
 _BSD = """redistribution and use in source and binary forms, with or without modification, are permitted provided that the
 following conditions are met: [[1]] redistributions of source code must retain the above copyright notice, this list of
 conditions and the following disclaimer. [[2]] redistributions in binary form must reproduce the above copyright notice,
@@ -79,15 +83,38 @@ was not distributed with this file, you can obtain one at [[http]] [[https]] [[w
 public license as published by the free software foundation, either version {{1}} of the license, or [[(at your option)]] any
 later version. this program is distributed in the hope that it will be useful, but without any warranty; without even the
 implied warranty of merchantability or fitness for a particular purpose. see the gnu general public license for more details""",
+    "zlib-text": """this software is provided as-is, without any express or implied warranty. in no event will the authors be held
+liable for any damages arising from the use of this software. permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: [[1]] the origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. if you use this software in a product, an acknowledgment in the product documentation would be appreciated but is
+not required. [[2]] altered source versions must be plainly marked as such, and must not be misrepresented as being the
+original software. [[3]] this notice may not be removed or altered from any source distribution""",
+    "unlicense-text": """this is free and unencumbered software released into the public domain. anyone is free to copy, modify, publish,
+use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means""",
+}
+#: The headers of the two sister licences differ in its name and in what they call the work.
+TEMPLATES |= {
+    f"{short}-header": TEMPLATES["gpl-header"].replace("this program", "this {{program|library|software}}").replace("gnu general", f"gnu {name} general").replace("version {{1}}", "version {{2}}")
+    for short, name in (("lgpl", "lesser"), ("agpl", "affero"))
 }
 
+
+def strength(label: str) -> float:
+    """How much an accepted template says: a whole text or header 1, a notice 0.8, a grant's beginning 0.6, a mere claim of rights 0.2."""
+    if label.endswith(("-text", "-header")):
+        return 1.0
+    return 0.6 if label.endswith("-grant") else 0.2 if label == "rights-reserved" else 0.8
+
+
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_MARK = re.compile(r"\[\[|\]\]|\{\{(\d+)\}\}|([0-9a-z]+)")
+_MARK = re.compile(r"\[\[|\]\]|\{\{(\d+)\}\}|\{\{([0-9a-z]+(?:\|[0-9a-z]+)+)\}\}|([0-9a-z]+)")
 
 
 @dataclass
 class Automaton:
-    """Steps from state i to i + 1 on words[i] (None: any word); skips[i]: states reachable without a word."""
+    """Steps from state i to i + 1 on words[i] (None: any word, a set: one of it); skips[i]: states reachable without a word."""
 
     words: list
     skips: list[list[int]]
@@ -95,7 +122,8 @@ class Automaton:
 
     def first_words(self) -> set:
         """Words that an acceptance can begin with."""
-        return {self.words[s] for s in self._closed({0}) if s < len(self.words)}
+        firsts = (self.words[s] for s in self._closed({0}) if s < len(self.words))
+        return {w for f in firsts for w in (f if isinstance(f, frozenset) else (f,))}
 
     def _closed(self, states: set[int]) -> set[int]:
         todo, out = list(states), set(states)
@@ -106,11 +134,15 @@ class Automaton:
                     todo.append(s)
         return out
 
+    def _takes(self, state: int, word) -> bool:
+        w = self.words[state]
+        return w is None or w == word or (isinstance(w, frozenset) and word in w)
+
     def longest_from(self, words: list, start: int) -> int:
         """End of the longest accepted run of words from ``start``, or -1."""
         states, end, goal = self._closed({0}), -1, len(self.words)
         for i in range(start, len(words)):
-            states = self._closed({s + 1 for s in states if s < goal and (self.words[s] is None or self.words[s] == words[i])})
+            states = self._closed({s + 1 for s in states if s < goal and self._takes(s, words[i])})
             if goal in states:
                 end = i + 1
             if not states:
@@ -130,14 +162,15 @@ def compiled(template: str) -> Automaton:
         elif m[0] == "]]":
             skips[opened.pop()].append(len(words))
         else:
-            for word in [m[2].encode()] if m[2] else [None] * int(m[1]):
+            named = [m[3].encode()] if m[3] else [frozenset(m[2].encode().split(b"|"))] if m[2] else [None] * int(m[1])
+            for word in named:
                 if word is None:
                     skips[-1].append(len(words) + 1)
                 elif not opened:
                     mandatory.append(len(words))
                 words.append(word)
                 skips.append([])
-    if opened or not mandatory:
+    if opened or not any(isinstance(words[i], bytes) for i in mandatory):
         raise ValueError(f"unbalanced or without mandatory wording: {template}")
     return Automaton(words, skips, mandatory)
 
@@ -152,7 +185,7 @@ class Scanner:
                     raise ValueError(f"{label} may begin with any word")
                 self.starts.setdefault(w, []).append(label)
         self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
-        needed = {max((a.words[i] for i in a.mandatory), key=len) for a in self.automata.values()} | {max(p, key=len) for p, _ in self.phrases}
+        needed = {max((a.words[i] for i in a.mandatory if isinstance(a.words[i], bytes)), key=len) for a in self.automata.values()} | {max(p, key=len) for p, _ in self.phrases}
         self.any_needed = re.compile(b"|".join(map(re.escape, sorted(needed))))
 
     def scan(self, low: bytes) -> tuple[list[tuple[int, str]], list[tuple[str, int, int]]]:
@@ -166,7 +199,7 @@ class Scanner:
                 if w == phrase[0] and words[i : i + len(phrase)] == phrase:
                     base.append((i, label))
             for label in self.starts.get(w, ()):
-                if i >= after.get(label, 0) and (end := self.automata[label].longest_from(words, i)) > 0:
+                if i >= after.get(label, 0) and not NEGATIONS.intersection(words[max(i - 2, 0) : i]) and (end := self.automata[label].longest_from(words, i)) > 0:
                     found.append((label, i, end))
                     after[label] = end
         return base, found

@@ -56,8 +56,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .license_scan import license_scan
+    from .license_scan import TEMPLATES, license_scan, strength
 
+    strengths = F.create_map(*(F.lit(x) for label in TEMPLATES for x in (label, strength(label))))
     base, found = F.col("base"), F.col("matches")
     joined = lambda x: F.array_join(F.sort_array(F.array_distinct(x)), ",")
     return license_scan(_documents(spark, sf_dir)).select(
@@ -68,7 +69,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(base["first_word"]).alias("last_word"),
         joined(base["label"]).alias("base_labels"),
         joined(F.concat(base["label"], found["label"])).alias("labels"),
-        F.when(F.size(found) > 0, 1.0).when(F.size(base) > 0, 0.5).otherwise(0.0).alias("score"),
+        F.greatest(F.coalesce(F.array_max(F.transform(found["label"], lambda x: strengths[x])), F.lit(0.0)), F.when(F.size(base) > 0, 0.5).otherwise(0.0)).alias("score"),
     )
 
 

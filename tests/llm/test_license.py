@@ -46,7 +46,7 @@ def test_base_and_templates(spark):
     assert S.license_scan(df.limit(0)).count() == 0
 
 
-WHOLE = ("mit-text", "isc-text", "bsd-2-text", "bsd-3-text", "apache-2.0-header", "mpl-2.0-header", "gpl-header")
+WHOLE = ("mit-text", "isc-text", "bsd-2-text", "bsd-3-text", "apache-2.0-header", "mpl-2.0-header", "gpl-header", "zlib-text", "unlicense-text")
 
 
 def filled(template, optional, names):
@@ -78,6 +78,39 @@ def test_bsd_clauses_differ():
         assert one in labels and two not in labels and "bsd-grant" in labels
 
 
+def found(text):
+    return {x for x, _, _ in S.Scanner(S.TEMPLATES, S.BASE_PHRASES).scan(text.lower().encode())[1]}
+
+
+@pytest.mark.parametrize("text", ["It is not in the public domain.", "the public domain of the city", "this work is not in the public domain", "a drug licensed under by law", "licensed under by", "This is not licensed under the MIT License", "never released under the MIT license", "nor licensed under CC BY 4.0"])
+def test_texts_that_name_no_licence(text):
+    assert found(text) == set()
+
+
+def test_variants_are_told_apart():
+    assert found("This work is in the public domain") == {"public-domain"}
+    for k in ("", "-sa", "-nd", "-nc", "-nc-sa", "-nc-nd"):
+        assert found(f"Licensed under a Creative Commons CC BY{k.upper()} 4.0 license") == {f"cc-by{k}"}
+    assert found("licensed under CC BY") == set()  # no version, so no variant is known
+    assert found("licensed under the Creative Commons Attribution 3.0 Unported License") == {"cc-attribution"}
+
+
+def test_alternatives():
+    a = S.compiled("x {{b|c}} [[{{d|e}}]] y")
+    for words, end in (("x b y", 3), ("x c e y", 4), ("x y", -1), ("x b f y", -1)):
+        assert a.longest_from(words.encode().split(), 0) == end, words
+    assert S.compiled("{{b|c}} y").first_words() == {b"b", b"c"}
+    with pytest.raises(ValueError):
+        S.compiled("{{b|c}}")
+
+
+def test_sister_headers_and_strength():
+    for short in ("lgpl", "agpl"):
+        text = S.TEMPLATES[f"{short}-header"].replace("{{program|library|software}}", "library").replace("{{2}}", "2.1").replace("[[(at your option)]]", "(at your option)")
+        assert f"{short}-header" in found(text) and "gpl-header" not in found(text)
+    assert [S.strength(x) for x in ("mit-text", "lgpl-header", "mit-notice", "mit-grant", "rights-reserved")] == [1.0, 1.0, 0.8, 0.6, 0.2]
+
+
 def test_query_columns(spark, tmp_path):
     from quartz_panel.llm.queries import op4_license_scan
 
