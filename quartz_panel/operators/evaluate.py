@@ -197,4 +197,39 @@ def walk_forward_folds(dates: DataFrame, horizon_bars: int, min_train: int = 12,
     return t.join(F.broadcast(cut), F.col("c") == F.col("t") - gap).join(F.broadcast(low), F.col("l") == first).select("test_date", "cutoff", "lower")
 
 
+def prior_ranks(stored: DataFrame, before: str, n: int) -> DataFrame:
+    """The last ``n`` stored ranks of each (ticker_id, horizon) before a date, rn 1 the latest; of a date stored twice the one created last."""
+    one = Window.partitionBy("ticker_id", "horizon", "as_of_date").orderBy(F.desc("created_at"))
+    last = Window.partitionBy("ticker_id", "horizon").orderBy(F.desc("as_of_date"))
+    s = stored.filter(F.col("as_of_date") < F.lit(before).cast("date")).withColumn("k", F.row_number().over(one)).filter("k = 1")
+    return s.withColumn("rn", F.row_number().over(last)).filter(F.col("rn") <= n).drop("k")
+
+
+def rank_stability(ranks: DataFrame) -> DataFrame:
+    """ticker_id, horizon, stability: population deviation of the ranks, null for fewer than two."""
+    return ranks.groupBy("ticker_id", "horizon").agg(F.when(F.count("rank") >= 2, F.stddev_pop("rank")).alias("stability"))
+
+
+def matched_mix(a: DataFrame, b: DataFrame, x: str, y: str, weight: float, out: str) -> DataFrame:
+    """``a`` with (1 - weight) * x + weight * y, y from ``b``'s row of the same date and name; a name missing in ``b`` keeps x."""
+    other = b.select("date", "ticker_id", F.col(y).alias("__y"))
+    return a.join(other, ["date", "ticker_id"], "left").withColumn(out, (1 - weight) * F.col(x) + weight * F.coalesce("__y", x)).drop("__y")
+
+
+def time_part(date: str, end, val_months: int, holdout_months: int):
+    """train, val or holdout by months before ``end``: val begins ``val_months`` before it, the holdout ``holdout_months``."""
+    return F.when(F.col(date) < F.add_months(end, -val_months), "train").when(F.col(date) < F.add_months(end, -holdout_months), "val").otherwise("holdout")
+
+
+def strided_samples(bars: DataFrame, first: int, stride: int, masks: list[str]) -> DataFrame:
+    """Every ``stride``-th bar of a name from place ``first`` on that has at least one label."""
+    some = F.greatest(*(F.coalesce(F.col(m), F.lit(False)) for m in masks)) if len(masks) > 1 else F.coalesce(F.col(masks[0]), F.lit(False))
+    return bars.filter((F.col("pos") >= first) & ((F.col("pos") - first) % stride == 0) & some)
+
+
+def window_facts(rows: DataFrame, *by: str) -> DataFrame:
+    """start, end, n_rows and names of training rows; of none: null dates and zeros."""
+    return rows.groupBy(*by).agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("n_rows"), F.countDistinct("ticker_id").alias("names"))
+
+
 __all__ = [n for n in dir() if not n.startswith("_")] + ["knife_overlay"]

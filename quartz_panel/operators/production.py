@@ -41,7 +41,7 @@ def all_features(specs: Mapping[str, Mapping]) -> list[str]:
 
 def train_windows(rows: DataFrame) -> DataFrame:
     """horizon, start, end, n_rows and names of the rows that a horizon is trained on."""
-    return rows.groupBy("horizon").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("n_rows"), F.countDistinct("ticker_id").alias("names"))
+    return E.window_facts(rows, "horizon")
 
 
 def fit_horizons(rows: DataFrame, specs: Mapping[str, Mapping], alpha: float = 10.0) -> DataFrame:

@@ -32,6 +32,26 @@ def latest(df: DataFrame, key: str, ts: str, columns: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*columns), ts).alias("x")).select(key, *(F.col("x")[c].alias(c) for c in columns))
 
 
+def by_symbol(asked: DataFrame, tickers: DataFrame, symbol: str) -> DataFrame:
+    """Rows of ``asked`` with the ticker whose symbol equals the column ``symbol`` in any case; unknown and null symbols give none.
+
+    A column of ``asked`` that tickers have too keeps the ticker's value."""
+    own = [c for c in asked.columns if c not in tickers.columns or c == symbol]
+    keyed = asked.select(*(F.col(f"`{c}`").alias(f"__{c}") for c in own), F.upper(F.col(f"`{symbol}`")).alias("__key"))
+    found = keyed.join(tickers.withColumn("__key", F.upper("symbol")), "__key").drop("__key")
+    return found.select(*(F.col(f"`__{c}`").alias(c) for c in own if c not in tickers.columns), *tickers.columns)
+
+
+def spliced(rows: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with those of every key in ``fresh`` replaced by the fresh ones, which need not be as many; rows of a null key stay."""
+    return rows.join(fresh.select(*keys).distinct(), keys, "left_anti").select(*rows.columns).unionByName(fresh.select(*rows.columns))
+
+
+def active_only(rows: DataFrame, tickers: DataFrame) -> DataFrame:
+    """Rows of active tickers that no user added: what models train on and rankings show."""
+    return rows.join(tickers.filter("active and not coalesce(user_added, false)").select("ticker_id").distinct(), "ticker_id", "left_semi")
+
+
 def ticker_detail(tickers: DataFrame, predictions: DataFrame, filings: DataFrame, daily: DataFrame, bars: DataFrame) -> DataFrame:
     """One row for each ticker: scores by horizon in fixed order, latest filing, sentiment and close."""
     place = F.array_position(F.array(*map(F.lit, HORIZON_ORDER)), F.col("horizon"))

@@ -149,8 +149,8 @@ query("j12_fold_match", oracle("SELECT date, ticker_id, round(mixed, 6) AS mixed
 
 def _fold_match(spark, d):
     a = _ranked(spark, d)
-    b = X.rank01(predictions(spark, d).filter("ticker_id % 4 <> 0"), ["date"], "mom_1m", "rb").select("date", "ticker_id", "rb")
-    return rounded(a.join(b, ["date", "ticker_id"], "left").select("date", "ticker_id", (0.5 * F.col("rank") + 0.5 * F.coalesce("rb", "rank")).alias("mixed")))
+    b = X.rank01(predictions(spark, d).filter("ticker_id % 4 <> 0"), ["date"], "mom_1m", "rb")
+    return rounded(E.matched_mix(a, b, "rank", "rb", 0.5, "mixed").select("date", "ticker_id", "mixed"))
 
 
 @query("x20_rank_blend", oracle(f"SELECT date, ticker_id, round(0.7 * {sql_rank('pred')} + 0.3 * {sql_rank('mom_1m')}, 6) AS blended FROM pred", *VIEWS))
@@ -186,24 +186,15 @@ STORED = ("stored", "SELECT ticker_id, '6M' AS horizon, date AS as_of_date, 1 AS
 PRIOR = ("priors", "SELECT *, row_number() OVER (PARTITION BY ticker_id, horizon ORDER BY as_of_date DESC) AS rn FROM (SELECT * FROM stored WHERE as_of_date < DATE '2001-01-01' QUALIFY row_number() OVER (PARTITION BY ticker_id, horizon, as_of_date ORDER BY created_at DESC) = 1)")
 
 
-def prior_ranks(stored, before: str, n: int):
-    from pyspark.sql import Window
-
-    one = Window.partitionBy("ticker_id", "horizon", "as_of_date").orderBy(F.desc("created_at"))
-    last = Window.partitionBy("ticker_id", "horizon").orderBy(F.desc("as_of_date"))
-    s = stored.filter(F.col("as_of_date") < F.lit(before).cast("date")).withColumn("k", F.row_number().over(one)).filter("k = 1")
-    return s.withColumn("rn", F.row_number().over(last)).filter(F.col("rn") <= n).drop("k")
-
-
 @query("w29_prior_ranks", oracle("SELECT ticker_id, horizon, rn::INT AS rn, as_of_date, round(rank, 6) AS rank FROM priors WHERE rn <= 2", *VIEWS, RANKS, STORED, PRIOR))
 def _(spark, d):
-    return rounded(prior_ranks(_stored(spark, d), "2001-01-01", 2).select("ticker_id", "horizon", "rn", "as_of_date", "rank"))
+    return rounded(E.prior_ranks(_stored(spark, d), "2001-01-01", 2).select("ticker_id", "horizon", "rn", "as_of_date", "rank"))
 
 
 @query("w30_rank_stability", oracle("SELECT ticker_id, horizon, round(CASE WHEN count(*) >= 2 THEN stddev_pop(rank) END, 6) AS stability FROM priors WHERE rn <= 3 GROUP BY ticker_id, horizon", *VIEWS, RANKS, STORED, PRIOR))
 def _(spark, d):
-    p = prior_ranks(_stored(spark, d), "2001-01-01", 3)
-    return rounded(p.groupBy("ticker_id", "horizon").agg(F.when(F.count("*") >= 2, F.stddev_pop("rank")).alias("stability")))
+    p = E.prior_ranks(_stored(spark, d), "2001-01-01", 3)
+    return rounded(E.rank_stability(p))
 
 
 LONG = ("long", "SELECT date, ticker_id, h AS horizon, mask, r, up AS y, s AS r_hat, 1 / (1 + exp(-s)) AS prob FROM (" + " UNION ALL ".join(f"SELECT date, ticker_id, '{h}' AS h, mask_{h} AS mask, round(r_{h}, 8) + 0.0 AS r, up_{h} AS up, round(mom_1m, 8) + 0.0 AS s FROM panel" for h in P.HORIZONS) + ")")
@@ -245,15 +236,13 @@ def _(spark, d):
 
 @query("m01_time_split", oracle("SELECT date, ticker_id, CASE WHEN date < DATE '2001-11-30' - INTERVAL 18 MONTH THEN 'train' WHEN date < DATE '2001-11-30' - INTERVAL 6 MONTH THEN 'val' ELSE 'holdout' END AS part FROM panel"))
 def _(spark, d):
-    t = F.lit("2001-11-30").cast("date")
-    part = F.when(F.col("date") < F.add_months(t, -18), "train").when(F.col("date") < F.add_months(t, -6), "val").otherwise("holdout")
-    return L.price_panel(spark, d).select("date", "ticker_id", part.alias("part"))
+    return L.price_panel(spark, d).select("date", "ticker_id", E.time_part("date", F.lit("2001-11-30").cast("date"), 18, 6).alias("part"))
 
 
 @query("m02_strided_samples", oracle("SELECT p.ticker_id, p.trade_date, p.pos FROM px p JOIN targets t USING (ticker_id, trade_date) WHERE pos >= 252 AND (pos - 252) % 5 = 0 AND (mask_1M OR mask_3M OR mask_6M OR mask_1Y)"))
 def _(spark, d):
     b = P.forward_targets(P.bar_index(V.bars(spark, d)))
-    return b.filter("pos >= 252 and (pos - 252) % 5 = 0 and (mask_1M or mask_3M or mask_6M or mask_1Y)").select("ticker_id", "trade_date", F.col("pos").cast("long").alias("pos"))
+    return E.strided_samples(b, 252, 5, [f"mask_{h}" for h in P.HORIZONS]).select("ticker_id", "trade_date", F.col("pos").cast("long").alias("pos"))
 
 
 @query("m03_aligned_samples", oracle("SELECT g.date, n.ticker_id, b.trade_date AS bar_date, b.pos FROM (SELECT DISTINCT ticker_id FROM bars) n CROSS JOIN grid g ASOF JOIN px b ON n.ticker_id = b.ticker_id AND g.date >= b.trade_date WHERE b.pos >= 252"))
@@ -263,4 +252,4 @@ def _(spark, d):
 
 @query("a18_train_window_facts", oracle("SELECT min(date) AS start, max(date) AS \"end\", count(*) AS n_rows, count(DISTINCT ticker_id) AS names FROM panel WHERE mask_3M"))
 def _(spark, d):
-    return L.price_panel(spark, d).filter("mask_3M").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("n_rows"), F.countDistinct("ticker_id").alias("names"))
+    return E.window_facts(L.price_panel(spark, d).filter("mask_3M"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from quartz_panel.operators import fundamentals as U
 from quartz_panel.operators import sentiment as N
-from quartz_panel.plans.service_queries import RATIOS, SAMPLE_COLUMNS, sequence_samples
+from quartz_panel.operators.sequences import RATIOS, SAMPLE_COLUMNS, sequence_samples
 from quartz_panel.sources import views as V
 
 DIR = "/root/testdata/sf0.001"
