@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quartz_panel.operators import crosssection as X
 from quartz_panel.operators import price as P
-from quartz_panel.operators.cut import cut
 from quartz_panel.sources import views as V
 
 from . import panel as L
@@ -75,7 +74,7 @@ _KNIFE = "(vol_120d + 1) / 2 * (1 - ((ma_gap_200 + 1) / 2 + (dist_low_252 + 1) /
 )
 def _(spark, d):
     """The panel that models read: ranks of all features, knife score, demeaned returns, and each horizon's label by its specification."""
-    p = cut(L.prepared(_full(spark, d), P.forward_medians(V.bars(spark, d))))
+    p = L.prepared(_full(spark, d), L.panel_medians(spark, d)).repartition("date")  # one shuffle for all labels
     p = p.withColumns({f"r_{h}": F.round(f"r_{h}", 9) + 0.0 for h in P.HORIZONS})
     for h, spec in L.HORIZON_SPECS.items():
         p = L.targeted(p, h, spec["target"], f"label_{h}")

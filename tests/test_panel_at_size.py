@@ -64,3 +64,16 @@ def test_rolling_extremes(spark):
         out = P.rolling_extremes(b, {"hi": (F.col("x"), n, True), "lo": (F.col("x"), n, False)})
         out = out.withColumns({"h": F.max("x").over(P.rows(n)), "l": F.min("x").over(P.rows(n))})
         assert out.filter("not (hi <=> h) or not (lo <=> l)").count() == 0, n
+
+
+def test_cut_stores_a_table_that_spent_deletes(spark):
+    import pytest
+
+    from quartz_panel.operators.cut import cut, spent
+
+    t = cut(spark.range(5).withColumn("x", F.col("id") * 2))
+    assert "Scan parquet" in plan(t.select("x")) and t.count() == 5
+    path = t.inputFiles()[0]
+    spent(t)
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
