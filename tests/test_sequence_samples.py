@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from quartz_panel.operators import fundamentals as U
 from quartz_panel.operators import sentiment as N
+from quartz_panel.operators import sequences as S
 from quartz_panel.operators.sequences import RATIOS, SAMPLE_COLUMNS, sequence_samples
 from quartz_panel.sources import views as V
 
@@ -66,3 +67,26 @@ def test_query_gives_every_end_row_and_every_column(spark):
     rows = out.collect()
     assert len(rows) == ends > 0 and out.columns == ["ticker_id", "trade_date", "n", *SAMPLE_COLUMNS]
     assert all(r.n == 252 and None not in r for r in rows)
+
+
+def test_a_window_takes_no_work_of_its_length_in_spark(spark):
+    """No sliding list of 252 rows for each bar in the plan: a name's rows go to the task once."""
+    plan = sequence_samples(V.bars(spark, DIR), V.filings(spark, DIR), N.rolling_sentiment(N.sentiment_daily(V.headlines(spark, DIR))))._jdf.queryExecution().toString()
+    assert "RowFrame, -251" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_strided_windows_and_summaries_over_blocks(spark, monkeypatch):
+    """Blocks of two windows, a stride, a name too short, one of 253 bars, leading nulls, a flat price."""
+    monkeypatch.setattr(S, "BLOCK", 2)
+    price = lambda t, i: None if t == 2 and i < 3 else (5.0 if t == 3 else 10.0 + math.sin(i * (t + 1)))
+    size = {0: 270, 1: 252, 2: 253, 3: 260}
+    rows = [(t, dt.date(2001, 1, 1) + dt.timedelta(days=i), price(t, i), float(i % 7)) for t, n in size.items() for i in range(n)]
+    got = {(r.ticker_id, r.trade_date): r for r in S.sequence_windows(spark.createDataFrame(rows, "ticker_id long, trade_date date, adj_close double, volume double"), 4).collect()}
+    day = lambda i: dt.date(2001, 1, 1) + dt.timedelta(days=i)
+    assert sorted(got) == [(0, day(i)) for i in range(252, 270, 4)] + [(2, day(252))] + [(3, day(i)) for i in (252, 256)]
+    for (t, end), r in got.items():
+        i = (end - day(0)).days
+        logs = [None if price(t, k - 1) is None else math.log(price(t, k) / price(t, k - 1)) for k in range(i - 251, i + 1)]
+        assert [x is None for x in r.returns] == [x is None for x in logs]
+        assert r.z == [None] * 252 if None in logs else np.allclose(r.z, z(np.array(logs)))
+        assert np.allclose(r.volumes, z(np.log([k % 7 or 1.0 for k in range(i - 251, i + 1)])))
