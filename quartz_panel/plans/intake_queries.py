@@ -107,7 +107,7 @@ def _(spark, d):
     members = now.join(t.filter("active and not user_added").select("ticker_id"), "ticker_id", "left_semi")
     stored = cut(I.stored_ranks(members, _ADDED))
     fresh = now.join(asked, "ticker_id", "left_semi").filter("ticker_id % 20 <> 0")
-    return rounded(I.score_added(stored, asked, fresh, _ADDED, added_score), digits=9)
+    return rounded(I.score_added(stored, asked, fresh, _ADDED, added_score, {"mom_6m": 0.5, "ma_gap_200": 0.3, "vol_60d": 0.2}), digits=9)
 
 
 def labelled_texts(spark, d):

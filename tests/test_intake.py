@@ -77,6 +77,30 @@ def test_insertion_equals_ranking_all_anew(spark, monkeypatch, most):
     assert seen == len(got) and ranks[None, 99] == (None, "insufficient_history") and len(ranks) == 6
 
 
+def test_only_members_that_a_name_could_pass_are_scored_again(spark):
+    """With ``reach``: equal results for ties, nulls, old rows, several dates and few members; rows that are scored don't grow as names x members."""
+    rng = random.Random(7)
+    schema = "date int, ticker_id int, f double, g double"
+    few = lambda: rng.choice([None, *[float(i) for i in range(4)]])
+    sizes = {1: 300, 2: 40, 3: 3, 4: 1}
+    members = [(d, t, few(), few()) if d % 2 == 0 or t % 3 == 0 else (d, t, rng.random(), rng.random()) for d, n in sizes.items() for t in range(n)]
+    fresh = [(d, t, few() if t % 2 else rng.random(), few() if t % 4 else rng.random()) for d in (1, 2, 3, 4, 5) for t in (*range(10), *range(300, 340))]
+    stored, asked, new = I.stored_ranks(spark.createDataFrame(members, schema), ["f", "g"]), spark.createDataFrame([(t,) for t in range(400)], "ticker_id int"), spark.createDataFrame(fresh, schema)
+    tried = spark.sparkContext.accumulator(0)
+
+    def counting(rows):
+        seen = F.udf(lambda x: tried.add(1) or x, "double")
+        return score(rows).withColumn("score", seen("score"))
+
+    want = {(r.ticker_id, r.date): (r.relative_rank, r.n_ranked, r.status) for r in I.score_added(stored, asked, new, ["f", "g"], score).collect()}
+    got = {(r.ticker_id, r.date): (r.relative_rank, r.n_ranked, r.status) for r in I.score_added(stored, asked, new, ["f", "g"], score, {"f": 1.0, "g": 0.5}).collect()}
+    assert got == want and len(want) == 250 + 350
+    big = spark.createDataFrame([(1, t, rng.random(), rng.random()) for t in range(2000)], schema)
+    many = spark.createDataFrame([(1, t, rng.random(), rng.random()) for t in range(2000, 2200)], schema)
+    I.score_added(I.stored_ranks(big, ["f", "g"]), many.select("ticker_id"), many, ["f", "g"], counting, {"f": 1.0, "g": 0.5}).collect()
+    assert 0 < tried.value < 2000 * 200 / 10
+
+
 def test_no_fresh_rows(spark):
     schema = "date int, ticker_id int, f double, g double"
     stored = I.stored_ranks(spark.createDataFrame([(1, 1, 1.0, 1.0)], schema), ["f", "g"])
