@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartz_panel.plans import stream_queries as Q
+from quartz_panel.streaming.stateful import OrderedSmoother
 
 RANKS = "ticker_id long, horizon string, date date, rank double"
 
@@ -58,6 +59,43 @@ def test_goes_on_from_stored_ranks_and_ignores_known_days(spark, tmp_path, ranks
     assert {(r.ticker_id, r.horizon, r.date): r.smooth for r in got} == {k: pytest.approx(v) for k, v in want.items()}
 
 
+def test_a_batch_reads_and_writes_a_key_once_and_gives_out_what_changed():
+    """No state call or timer for each row: one get and one update a batch; only days from the earliest new one on are given out."""
+    calls, held = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return held.get("x")
+
+        def update(self, x):
+            calls.append("update")
+            held["x"] = x
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+    class Timers:
+        def __init__(self, day):
+            self.day = day
+
+        def getCurrentWatermarkInMs(self):
+            return 0 if self.day is None else int((self.day - dt.date(1970, 1, 1)).total_seconds() * 1000)
+
+    days = [dt.date(2020, 1, d) for d in range(1, 21)]
+    rows = [{"date": d, "rank": None if d.day == 4 else float(d.day)} for d in days]
+    want = {k[2]: v for k, v in smoothed([(1, "3M", r["date"], r["rank"]) for r in rows], 3).items()}
+    s = OrderedSmoother(0.5)
+    s.init(Handle())
+    run = lambda part, seen: [(r.date, r.smooth) for r in s.handleInputRows((1, "3M"), iter(part), Timers(seen))]
+    assert len(run([r for r in rows[:10] if r["date"].day != 7][::-1], None)) == 9
+    assert run([rows[6]], days[5]) == [(d, want[d]) for d in days[6:10]]
+    assert run(rows[:3] + rows[10:], days[12]) == [(d, want[d]) for d in days[10:]]
+    assert calls == ["get", "update"] * 3 and len(held["x"][2]) == 8
+    assert run([rows[2]], days[12]) == []
+
+
 def test_quotes_expire_by_event_time_over_files(spark, tmp_path):
     rng = random.Random(5)
     base = dt.datetime(2024, 1, 1)
