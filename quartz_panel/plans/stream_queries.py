@@ -71,9 +71,10 @@ def _(spark, d):
     return rounded(smoothed_stream(spark, f"{base}/in", ranks.schema, base, 3, "400 days").select("ticker_id", "date", "smooth"))
 
 
-def bar_stream(spark, folder: str, table: BarTable, base: str) -> None:
-    """Bar files in their order, one for each batch, into the table."""
-    bars = spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(folder)
+def bar_stream(spark, folder: str, table: BarTable, base: str, max_files: int | None = None) -> None:
+    """Bar files that have come since the stream last ran, into the table: as one batch, or ``max_files`` for each in their order."""
+    source = spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet")
+    bars = (source.option("maxFilesPerTrigger", max_files) if max_files else source).parquet(folder)
     bars.writeStream.foreachBatch(table.write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
 
 
@@ -86,9 +87,9 @@ def _(spark, d):
     """Bars to the end of 1999, then those from December on with every third name re-adjusted by a hundredth: its whole history follows."""
     base, bars = stream_folder(spark, "bars"), cut(V.bars(spark, d).select("ticker_id", "trade_date", "adj_close", "volume"))
     moved = bars.withColumn("adj_close", F.col("adj_close") * F.when(F.col("ticker_id") % 3 == 0, 1.01).otherwise(1.0))
-    for part in (bars.filter("trade_date < date'2000-01-01'"), moved.filter("trade_date >= date'1999-12-01'")):
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
     table = BarTable(f"{base}/table", bars.schema, 16, history=lambda names: moved.join(names, "ticker_id", "left_semi"))
-    bar_stream(spark, f"{base}/in", table, base)
+    for part in (bars.filter("trade_date < date'2000-01-01'"), moved.filter("trade_date >= date'1999-12-01'")):
+        part.write.mode("append").parquet(f"{base}/in")  # files of many tasks; the stream takes them up as they have come
+        bar_stream(spark, f"{base}/in", table, base)
     out = table.read(spark).join(table.drifted(spark), "ticker_id", "left")
     return rounded(out.select("ticker_id", "trade_date", (F.col("adj_close") * 1.0000001).alias("adj_close"), F.coalesce("drifted", F.lit(False)).alias("drifted")), digits=2)

@@ -4,7 +4,11 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from quartz_panel import plans
+from quartz_panel.operators.cut import cut
+from quartz_panel.plans import stream_queries
 from quartz_panel.streaming.bar_table import BarTable
 
 SCHEMA = "ticker_id long, trade_date date, adj_close double, volume double"
@@ -59,3 +63,30 @@ def test_no_drift_without_a_stored_price(spark, table):
     table.write(bars(spark, [(1, 1, 5.0), (2, 1, 9.0), (3, 1, 1.0)]), 1)
     table.write(bars(spark, []), 2)
     assert held(table, spark) == {(1, 1): 5.0, (2, 1): 9.0, (3, 1): 1.0} and not any(r.drifted for r in table.drifted(spark).collect())
+
+
+def test_a_partition_is_written_by_several_tasks(spark, tmp_path):
+    full = bars(spark, [(t, d, 50.0 + d) for t in range(20) for d in range(1, 9)])
+    table = BarTable(str(tmp_path / "t"), full.schema, 2, history=lambda names: full, file_rows=10)
+    table.write(bars(spark, [(t, d, 100.0 + d) for t in range(40) for d in range(1, 6)]), 0)
+    table.write(bars(spark, [(t, d, (50.0 if t < 20 else 100.0) + d) for t in range(40) for d in (5, 6)] + [(0, 8, 1.5)]), 1)
+    assert held(table, spark) == {(t, d): (50.0 if t < 20 else 100.0) + d for t in range(40) for d in range(1, 9 if t < 20 else 7)} | {(0, 8): 1.5}
+    count = [f.split("/part-")[0] for f in files(f"{table.path}/bars")]
+    assert all(count.count(folder) > 5 for folder in count) and len(set(count)) == 2
+    homes = table.read(spark).select("ticker_id", F.input_file_name().alias("f")).distinct().groupBy("ticker_id").count()
+    assert homes.filter("count > 1").isEmpty()  # a name's rows are in one file
+
+
+def test_stream_parts_are_files_of_many_tasks_and_one_batch_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_queries, "stream_folder", lambda spark, name: str(tmp_path))
+    d = str(tmp_path / "data")
+    lines = [(t, dt.datetime(1999, 6, 1) + dt.timedelta(days=3 * k), 1.0 + k % 4, 100.0 + k + t, 0.1, 0.0, "R", k) for t in range(12) for k in range(90)]
+    kind = "l_suppkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_orderkey long"
+    spark.createDataFrame(lines, kind).write.parquet(f"{d}/lineitem.parquet")
+    monkeypatch.setattr(stream_queries, "cut", lambda df: cut(df.repartition(3, "ticker_id")))
+    got = plans.queries()["t02_bar_drift_stream"](spark, d).collect()
+    assert len(got) == len(lines) and all(r.drifted == (r.ticker_id % 3 == 0) for r in got)
+    price = {(t, day.date()): p / q for t, day, q, p, *_ in lines}
+    assert all(abs(r.adj_close - price[r.ticker_id, r.trade_date] * (1.01 if r.drifted else 1.0)) < 0.006 for r in got)
+    assert len([f for f in os.listdir(tmp_path / "in") if f.endswith(".parquet")]) == 6
+    assert sorted(f for f in os.listdir(tmp_path / "state" / "commits") if f.isdigit()) == ["0", "1"]
