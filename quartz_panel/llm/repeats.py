@@ -96,9 +96,11 @@ def _decided(rows: DataFrame, keep_first: bool, name: str, scratch: Scratch) ->
     return scratch.written(rows.filter(~_has(MARK)).filter("sure or open").select("doc_id", first.alias("first"), last.alias("last"), "sure", "open"), name)
 
 
-def with_ranges(texts: DataFrame, ranges: DataFrame, most_broadcast_bytes: int, inner: bool = False) -> DataFrame:
-    """``texts`` with the ranges of their doc_id.  If the ids with ranges are few enough to be sent, other texts aren't shuffled."""
-    if _small(ranges, most_broadcast_bytes):
+def with_ranges(texts: DataFrame, ranges: DataFrame, most_broadcast_bytes: int, inner: bool = False, most_ranges_bytes: int | None = None) -> DataFrame:
+    """``texts`` with the ranges of their doc_id.  If the ids with ranges are few enough to be sent, other texts aren't shuffled.
+
+    No text is if the ranges themselves are: up to ``most_ranges_bytes``, by default as much as of ids."""
+    if _small(ranges, most_broadcast_bytes if most_ranges_bytes is None else min(most_ranges_bytes, most_broadcast_bytes)):
         return texts.join(F.broadcast(ranges), "doc_id", "inner" if inner else "left")
     if ranges.count() * 16 > most_broadcast_bytes:
         return texts.join(ranges, "doc_id", "inner" if inner else "left")
@@ -122,7 +124,7 @@ def settled(docs: DataFrame, most_broadcast_bytes: int) -> DataFrame:
     return rows.withColumn("doc_id", F.when(F.col("lo") != text, other).otherwise(own)).drop("shared_id", "lo")
 
 
-def repeated_windows(docs: DataFrame, anchors: Callable, windows: Callable, keep_first: bool, most_broadcast_bytes: int, blocks: Callable | None = None) -> DataFrame:
+def repeated_windows(docs: DataFrame, anchors: Callable, windows: Callable, keep_first: bool, most_broadcast_bytes: int, blocks: Callable | None = None, most_ranges_bytes: int | None = None) -> DataFrame:
     """doc_id, ranges of windows that occur again; with ``keep_first``, of those that occur earlier
     (smaller doc_id, or the same and an earlier start).  Rows that repeat a doc_id count once.
 
@@ -133,13 +135,13 @@ def repeated_windows(docs: DataFrame, anchors: Callable, windows: Callable, keep
     tables, sure = [rows], rows.filter("sure").select("doc_id", "first", "last")
     todo = by_document(rows.filter("open"), "open", most_broadcast_bytes, scratch)
     if blocks:
-        cut = with_ranges(texts, todo, most_broadcast_bytes, True).select("doc_id", "text", "ranges").mapInArrow(blocks, ANCHOR_SCHEMA)
+        cut = with_ranges(texts, todo, most_broadcast_bytes, True, most_ranges_bytes).select("doc_id", "text", "ranges").mapInArrow(blocks, ANCHOR_SCHEMA)
         rows = _decided(cut, keep_first, "blocks", scratch)
         scratch.drop(todo)
         tables.append(rows)
         sure = sure.union(rows.filter("sure").select("doc_id", "first", "last"))
         todo = by_document(rows.filter("open"), "open", most_broadcast_bytes, scratch)
-    single = with_ranges(texts, todo, most_broadcast_bytes, True).select("doc_id", "text", "ranges").mapInArrow(windows, WINDOW_SCHEMA)
+    single = with_ranges(texts, todo, most_broadcast_bytes, True, most_ranges_bytes).select("doc_id", "text", "ranges").mapInArrow(windows, WINDOW_SCHEMA)
     single = single.repartition("h1", "h2")
     here = F.struct("doc_id", "first")
     equal = Window.partitionBy("h1", "h2")

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quartz_panel.llm import queries as L
 from quartz_panel.llm import substring_dedup as R
@@ -151,3 +152,20 @@ def test_queries_on_given_documents(spark):
     assert any(m for _, _, m, _ in want)
     want = {(k, n, m, s, sha(b)) for k, (n, m, s, b) in brute_all([(k, t.encode()) for k, t in data], 200).items()}
     assert {tuple(r) for r in L.op2_suffix_dedup(spark, d).collect()} == want
+
+
+def test_ranges_of_many_texts_are_not_sent_to_all_tasks(spark):
+    """14,000 texts with a range each, 1.1 MB: shuffled to, as in larger inputs, so that what is shuffled grows as the input."""
+    name = F.sha2(F.shiftright("id", 1).cast("string"), 512)
+    docs = spark.range(14_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 13_998, F.concat(name, name)).otherwise(F.concat(F.sha2(F.col("id").cast("string"), 512), name)).alias("text"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many, few = S.suffix_dedup(docs), S.suffix_dedup(docs.filter("doc_id < 100"))
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (many, few)]
+        got = {r.doc_id: len(r.kept) for r in many.select("doc_id", "kept").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert got == {k: 0 if k < 13_998 else 256 for k in range(14_000)}
+    assert "LeftOuter" not in plans[0] and "SortMergeJoin" in plans[0]
+    assert "LeftOuter" in plans[1] and "SortMergeJoin" not in plans[1]  # few ranges are sent, and no text is shuffled
