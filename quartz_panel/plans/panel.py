@@ -10,7 +10,8 @@ from quartz_panel.operators import fundamentals as U
 from quartz_panel.operators import price as P
 from quartz_panel.operators import sentiment as T
 from quartz_panel.operators.asof import asof_join
-from quartz_panel.operators.cut import cut, spent
+from quartz_panel.operators.cut import cut
+from quartz_panel.operators.month_rows import BLOCK, month_rows
 from quartz_panel.sources import views as V
 
 #: Feature names by pack.
@@ -60,41 +61,29 @@ def grid_bars(bars: DataFrame, max_stale_days: int = 7, min_pos: int = 252) -> D
     return j.filter(F.col("pos") >= min_pos)
 
 
+def _month_rows(spark, d, sides=None) -> DataFrame:
+    grid = [r.date for r in P.month_end_grid(V.days(spark, d)).collect()]  # a date for each month of the calendar
+    return month_rows(V.bars(spark, d, BLOCK), V.tickers(spark, d), P.universe_returns(V.bars(spark, d)), grid, sides)
+
+
 def price_panel(spark, d) -> DataFrame:
     """Grid rows with price factors and forward returns."""
-    bars, names = V.bars(spark, d), V.tickers(spark, d)
-    rows = P.price_factors(bars, names, grid=P.month_end_grid(V.days(spark, d))).drop("adj_close").withColumnsRenamed({"trade_date": "bar_date", "bar_close": "adj_close"})
-    first = ["ticker_id", "bar_date", "date", "pos", "adj_close", *(f"{k}_{h}" for h in P.HORIZONS for k in ("r", "mask"))]
-    return rows.select(*first, *(c for c in rows.columns if c not in first))
+    return _month_rows(spark, d)
 
 
 def full_panel(spark, d) -> DataFrame:
-    """price_panel with fundamentals, valuation, filing reaction, analyst figures, short interest and sentiment."""
-    bars, filings = V.bars(spark, d), cut(V.filings(spark, d))
-    panel = cut(price_panel(spark, d))
-    at, keys = ["ticker_id", "date"], panel.select("ticker_id", "date", "pos")
-    cols = ["revenue_growth", "gross_margin", "operating_margin", "debt_equity", "fcf_revenue", "total_equity", "ttm_revenue", "ttm_net_income", "ttm_fcf", "gross_margin_stability_4q", "operating_margin_stability_4q", "revenue_growth_stability_4q"]
-    funds = asof_join(keys.select(*at), U.annotated(filings).withColumn("__ok", F.lit(1.0)), ["ticker_id"], "date", "filed_at", [*cols, "__ok"], tie=["accession_number"])
-    funds = funds.withColumn("fund_available", F.coalesce("__ok", F.lit(0.0))).drop("__ok").fillna(0.0, cols)
-    gaps = X.group_median_gap(panel.select(*at, "industry", "mom_12_1"), "mom_12_1", "industry", "industry_neutral_mom_12_1").drop("industry", "mom_12_1")
-    # what is known of a name on a date is found for the keys alone, a table each; the wide rows are shuffled once
-    sides = [
-        funds,
-        U.filing_reaction(keys, filings, bars, P.universe_returns(bars)),
-        U.estimate_features(keys, V.estimates(spark, d), V.surprises(spark, d)),
-        U.short_ratio(keys, V.short_interest(spark, d)),
-        T.filled(keys.select(*at), T.rolling_sentiment(T.sentiment_daily(V.headlines(spark, d)))),
-        gaps,
-    ]
-    sides = [cut(side) for side in sides]
-    whole = panel
-    for side in sides:
-        whole = whole.join(side, at)
-    whole = U.valuation(whole)
+    """price_panel with fundamentals, valuation, filing reaction, analyst figures, short interest and sentiment; rows are a table, shuffled by name alone."""
+    sides = {
+        "filings": U.annotated(V.filings(spark, d)),
+        "estimates": V.estimates(spark, d),
+        "surprises": V.surprises(spark, d),
+        "short_interest": V.short_interest(spark, d),
+        "sentiment": T.rolling_sentiment(T.sentiment_daily(V.headlines(spark, d))),
+    }
+    panel = cut(_month_rows(spark, d, sides))
+    whole = U.valuation(X.group_median_gap(panel, "mom_12_1", "industry", "industry_neutral_mom_12_1", by_join=True))
     upside = F.when((F.col("adj_close") > 0) & (F.col("price_target_mean") != 0), (F.col("price_target_mean") - F.col("adj_close")) / F.col("adj_close"))
-    whole = cut(whole.withColumn("price_target_upside", F.coalesce(upside, F.lit(0.0))))
-    spent(filings, panel, *sides)
-    return whole
+    return whole.withColumn("price_target_upside", F.coalesce(upside, F.lit(0.0)))
 
 
 def all_features() -> list[str]:

@@ -49,7 +49,7 @@ def _full(spark, d):
 @query("x01_full_panel", oracle(f"SELECT date, ticker_id, sector, industry, {', '.join(FEATURES)}, {_r(' '.join(f'r_{h}' for h in P.HORIZONS))}, {', '.join(f'mask_{h}' for h in P.HORIZONS)} FROM fp_full", *FULL))
 def _(spark, d):
     """Every feature of every pack, with returns and masks."""
-    return rounded(_full(spark, d))
+    return rounded(_full(spark, d), *FEATURES)  # features are rounded already
 
 
 _RANKED = ("fp_ranked", "SELECT p.date, p.ticker_id, sector, " + ", ".join(f"{sql_rank(c, by='p.date', one='0.0', lo='-1.0', width='2.0')} AS {c}" for c in FEATURES) + ", vol_120d AS vol_120d_raw, " + ", ".join(f"coalesce(mask_{h} AND m_{h}.median IS NOT NULL, false) AS mask_{h}, CASE WHEN mask_{h} AND m_{h}.median IS NOT NULL THEN r_{h} - m_{h}.median ELSE 0 END AS r_{h}" for h in P.HORIZONS) + " FROM fp_full p " + " ".join(f"LEFT JOIN medians m_{h} ON p.date = m_{h}.trade_date AND m_{h}.horizon = '{h}'" for h in P.HORIZONS))

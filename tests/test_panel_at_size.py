@@ -4,10 +4,14 @@ import datetime as dt
 import math
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from quartz_panel.operators import crosssection as X
+from quartz_panel.operators import fundamentals as U
 from quartz_panel.operators import price as P
+from quartz_panel.operators import sentiment as T
+from quartz_panel.operators.month_rows import PRICE, month_rows
 from quartz_panel.plans import factor_queries as Q
 from quartz_panel.plans import panel as L
 from quartz_panel.sources import views as V
@@ -77,3 +81,40 @@ def test_cut_stores_a_table_that_spent_deletes(spark):
     spent(t)
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+def test_full_panel_sends_no_side_to_the_driver(spark):
+    """Sides meet the bars by name: no join but that of the dates and the calendar's medians, whatever a side's file is compressed to."""
+    bars, grid = V.bars(spark, SF), [r.date for r in P.month_end_grid(V.days(spark, SF)).collect()]
+    sides = {"filings": U.annotated(V.filings(spark, SF)), "estimates": V.estimates(spark, SF), "surprises": V.surprises(spark, SF), "short_interest": V.short_interest(spark, SF), "sentiment": T.rolling_sentiment(T.sentiment_daily(V.headlines(spark, SF)))}
+    made = month_rows(bars, V.tickers(spark, SF), P.universe_returns(bars), grid, sides)
+    whole = L.full_panel(spark, SF)
+    assert "FlatMapCoGroupsInArrow" in plan(made) and plan(whole).count("Join") == 1 and "BroadcastHashJoin [date" in plan(whole)
+    keys = L.price_panel(spark, SF).select("ticker_id", "date", "pos").cache()
+    at = ["ticker_id", "date"]
+    for want in (
+        U.filing_reaction(keys, V.filings(spark, SF), bars, P.universe_returns(bars)),
+        U.estimate_features(keys, sides["estimates"], sides["surprises"]),
+        U.short_ratio(keys, sides["short_interest"]),
+        T.filled(keys.select(*at), sides["sentiment"]),
+    ):
+        cols = [c for c in want.columns if c not in at]
+        rows = [Q.rounded(x.select(*at, *cols), digits=9).orderBy(*at).collect() for x in (want, made)]
+        assert rows[0] == rows[1] and rows[0]
+
+
+def test_month_rows_of_odd_names(spark):
+    """A name without a row of its own, one without bars, missing prices and days, a block that holds one name."""
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(days=i)
+    rows = [(t, day(i), None if i % 9 == 4 else 10.0 + (i * t) % 7, 5.0) for t in (1, 2, 700) for i in range(80)] + [(1, None, 3.0, 1.0)]
+    bars = spark.createDataFrame(rows, "ticker_id long, trade_date date, adj_close double, volume double")
+    names = spark.createDataFrame([(1, "s", "i", 1e6), (3, "s", None, 1e6), (700, None, "i", 1e6)], "ticker_id long, sector string, industry string, shares_outstanding double")
+    shorts = spark.createDataFrame([(1, day(50), day(40), None, 6.0, 3.0), (2, day(50), day(40), 9.0, None, None), (1, None, day(41), 8.0, None, None)], "ticker_id long, publication_date date, settlement_date date, days_to_cover double, short_interest double, avg_daily_volume double")
+    grid = [day(30), day(59), day(79 + 7), day(79 + 8), None]
+    got = {(r.ticker_id, r.date): r for r in month_rows(bars, names, P.universe_returns(bars), grid, {"short_interest": shorts}, min_pos=40).collect()}
+    assert sorted(got) == [(t, d) for t in (1, 700) for d in (day(59), day(86))]
+    assert [got[1, d].short_ratio for d in (day(59), day(86))] == [2.0, 2.0] and got[700, day(59)].short_ratio == 0.0
+    assert got[1, day(86)].bar_date == day(79) and got[1, day(86)].pos == 79 and (got[700, day(59)].sector, got[1, day(59)].sector) == (None, "s")
+    want = {r.ticker_id: r for r in P.price_factors(bars.filter("trade_date is not null"), names, min_pos=40).filter(F.col("trade_date") == F.lit(day(59))).collect()}
+    for t in (1, 700):
+        assert all(getattr(got[t, day(59)], c) == pytest.approx(getattr(want[t], c), abs=1e-9) for c in PRICE)
