@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,32 +94,33 @@ def all_features() -> list[str]:
     return [c for p in PACKS if p != "knife" for c in PACKS[p]]
 
 
-def prepared_panel(spark, d, horizons=("1M", "3M", "6M", "1Y"), industry_relative: bool = False) -> DataFrame:
-    """The panel ready to fit: demeaned returns, ranked features, knife score."""
-    return prepared(full_panel(spark, d), panel_medians(spark, d), horizons, industry_relative)
+def prepared_panel(spark, d, horizons=("1M", "3M", "6M", "1Y"), industry_relative: bool = False, targets: Mapping[str, str] | None = None) -> DataFrame:
+    """The panel ready to fit: demeaned returns, ranked features, knife score; ``targets``: labels as ``prepared`` makes them."""
+    return prepared(full_panel(spark, d), panel_medians(spark, d), horizons, industry_relative, targets)
 
 
 def panel_medians(spark, d) -> DataFrame:
     """The medians of the panel's dates: a row for each date and horizon."""
-    return cut(P.forward_medians(V.bars(spark, d), P.month_end_grid(V.days(spark, d))))
+    return P.grid_medians(V.bars(spark, d), [r.trade_date for r in V.days(spark, d).collect()])  # the calendar
 
 
-def prepared(panel: DataFrame, medians: DataFrame, horizons=("1M", "3M", "6M", "1Y"), industry_relative: bool = False) -> DataFrame:
+def prepared(panel: DataFrame, medians: DataFrame, horizons=("1M", "3M", "6M", "1Y"), industry_relative: bool = False, targets: Mapping[str, str] | None = None, digits: int | None = None) -> DataFrame:
     """``panel`` with returns less their date's median (trade_date, horizon, median), features ranked to [-1, 1], raw vol_120d kept, knife score added.
 
     ``industry_relative``: features of RELATIVE_PACKS are ranked anew within their sector, then within their industry, where the group has five names or more.
-    The ranked rows are a table, so the result is cheap to read again."""
-    medians = medians.withColumnRenamed("trade_date", "date")
-    for h in horizons:
-        panel = X.demean(panel, medians.filter(F.col("horizon") == h), h)
-    panel = panel.withColumn("vol_120d_raw", F.col("vol_120d"))
+    ``targets`` (rank or sector_return by horizon): also label_h, of returns rounded to ``digits`` if given.  All of it is made by date in one shuffle.
+    The rows are a table, so the result is cheap to read again."""
+    told = {(r.trade_date, r.horizon): r.median for r in medians.collect()}  # a number for each date of the calendar and horizon
     groups = ("sector", "industry") if industry_relative else ()
-    ranked = cut(X.rank_normalize(panel, all_features(), groups, relative_columns=tuple(feature_columns(base=RELATIVE_PACKS))))
-    return X.knife_score(ranked, ranked=True, by_join=True)
+    added = ", ".join([*(f"y_{h} boolean" for h in horizons), "vol_p double, downtrend_p double, knife_score double", *(f"label_{h} double" for h in targets or {})])
+    then = partial(X.date_columns, medians=told, horizons=tuple(horizons), targets=dict(targets or {}), digits=digits)
+    return cut(X.rank_normalize(panel.withColumn("vol_120d_raw", F.col("vol_120d")), all_features(), groups, relative_columns=tuple(feature_columns(base=RELATIVE_PACKS)), then=(then, added)))
 
 
 def targeted(panel: DataFrame, horizon: str, mode: str, out: str = "y") -> DataFrame:
-    """``out``: the label of a horizon, null where it has none.  Modes: return, rank, quantile, sector_return, sector_return_vol."""
+    """``out``: the label of a horizon, null where it has none; that of ``prepared`` if it is there.  Modes: return, rank, quantile, sector_return, sector_return_vol."""
+    if f"label_{horizon}" in panel.columns:
+        return panel.withColumn(out, F.col(f"label_{horizon}"))
     valid = F.when(F.col(f"mask_{horizon}"), F.col(f"r_{horizon}"))
     if mode == "return":
         return panel.withColumn(out, valid)

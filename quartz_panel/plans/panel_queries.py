@@ -74,10 +74,7 @@ _KNIFE = "(vol_120d + 1) / 2 * (1 - ((ma_gap_200 + 1) / 2 + (dist_low_252 + 1) /
 )
 def _(spark, d):
     """The panel that models read: ranks of all features, knife score, demeaned returns, and each horizon's label by its specification."""
-    p = L.prepared(_full(spark, d), L.panel_medians(spark, d)).repartition("date")  # one shuffle for all labels
-    p = p.withColumns({f"r_{h}": F.round(f"r_{h}", 9) + 0.0 for h in P.HORIZONS})
-    for h, spec in L.HORIZON_SPECS.items():
-        p = L.targeted(p, h, spec["target"], f"label_{h}")
+    p = L.prepared(_full(spark, d), L.panel_medians(spark, d), targets={h: s["target"] for h, s in L.HORIZON_SPECS.items()}, digits=9)
     labels = (F.col(f"label_{h}").alias(f"y_{h}") for h in P.HORIZONS)
     p = p.withColumn("knife_score", F.round("knife_score", 9))
     return rounded(p.select("date", "ticker_id", "sector", *FEATURES, "knife_score", "vol_120d_raw", *(f"{k}_{h}" for h in P.HORIZONS for k in ("r", "mask")), *labels), "knife_score")

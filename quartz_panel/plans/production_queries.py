@@ -100,7 +100,7 @@ def _(spark, d):
 @query("m14_production_scores")
 def _(spark, d):
     """All features of each horizon's specification, on the prepared panel; the longest horizon is shrunk toward the one before it."""
-    p = L.prepared_panel(spark, d)
+    p = L.prepared_panel(spark, d, targets={h: s["target"] for h, s in SPECS.items()})
     last = F.broadcast(p.agg(F.max("date").alias("last")))
     models = cut(D.fit_horizons(_trained(spark, d, p, SPECS), SPECS))
     current = cut(p.join(last, p.date == last.last, "left_semi"))

@@ -142,7 +142,7 @@ def _(spark, d):
 @query("m07_walk_forward_ic")
 def _(spark, d):
     """Each horizon by its specification: target, features, window, overlay and smoothing; ridge on all features of the prepared panel."""
-    panel, out = L.prepared_panel(spark, d), None
+    panel, out = L.prepared_panel(spark, d, targets={h: s["target"] for h, s in L.HORIZON_SPECS.items()}), None
     for h, spec in L.HORIZON_SPECS.items():
         features = L.feature_columns(spec["packs"], spec.get("extra", ()))
         p = L.targeted(panel, h, spec["target"])

@@ -118,3 +118,34 @@ def test_month_rows_of_odd_names(spark):
     want = {r.ticker_id: r for r in P.price_factors(bars.filter("trade_date is not null"), names, min_pos=40).filter(F.col("trade_date") == F.lit(day(59))).collect()}
     for t in (1, 700):
         assert all(getattr(got[t, day(59)], c) == pytest.approx(getattr(want[t], c), abs=1e-9) for c in PRICE)
+
+
+def test_prepared_rows_are_made_in_one_shuffle_by_date(spark, monkeypatch):
+    """Demeaned returns, knife score and labels of ``prepared`` are those of the operators that shuffle for each of them."""
+    p = L.price_panel(spark, SF)
+    for c in (c for c in L.all_features() if c not in p.columns):
+        p = p.withColumn(c, F.lit(0.0))
+    p = p.withColumn("ma_gap_200", F.when(F.col("ticker_id") % 4 > 0, F.col("ma_gap_200")))
+    p = L.cut(p)
+    medians = P.forward_medians(V.bars(spark, SF), P.month_end_grid(V.days(spark, SF))).filter("horizon <> '1M' or month(trade_date) <> 5")
+    targets, plans, cut = {h: s["target"] for h, s in L.HORIZON_SPECS.items()}, [], L.cut
+    monkeypatch.setattr(L, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    made = L.prepared(p, medians, targets=targets)
+    assert plans[-1].count("Exchange hashpartitioning") == 1
+    want = p.withColumn("vol_120d_raw", F.col("vol_120d"))
+    for h in targets:
+        want = X.demean(want, medians.filter(F.col("horizon") == h).withColumnRenamed("trade_date", "date"), h)
+    want = X.knife_score(X.rank_normalize(want, L.all_features()), ranked=True)
+    for h, mode in targets.items():
+        want = L.targeted(want, h, mode, f"label_{h}")
+    cols = ["date", "ticker_id", *sorted(set(want.columns) - {"date", "ticker_id"})]
+    assert sorted(made.columns) == sorted(cols) and "label_3M" in cols
+    rows = [Q.rounded(x.select(*cols), digits=9).orderBy("date", "ticker_id").collect() for x in (want, made)]
+    assert rows[0] == rows[1] and len(rows[0]) > 300
+
+
+def test_grid_medians_read_the_dates_they_need(spark):
+    bars = V.bars(spark, SF)
+    want = P.forward_medians(bars, P.month_end_grid(bars))
+    got = P.grid_medians(bars, [r.trade_date for r in V.days(spark, SF).collect()])
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 100
