@@ -149,3 +149,10 @@ def test_grid_medians_read_the_dates_they_need(spark):
     want = P.forward_medians(bars, P.month_end_grid(bars))
     got = P.grid_medians(bars, [r.trade_date for r in V.days(spark, SF).collect()])
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 100
+
+
+def test_labels_that_are_stored_are_not_made_again(spark):
+    """The horizons of the walk-forward and production queries take the labels of ``prepared``; no window, no shuffle for each."""
+    p = spark.range(3).select(F.col("id").alias("ticker_id"), F.lit(dt.date(2020, 1, 31)).alias("date"), F.lit("s").alias("sector"), F.lit(0.5).alias("r_3M"), F.lit(True).alias("mask_3M"), F.lit(0.25).alias("label_3M"))
+    made = L.targeted(p, "3M", "sector_return")
+    assert "Window" not in plan(made) and "Exchange" not in plan(made) and [r.y for r in made.collect()] == [0.25] * 3
